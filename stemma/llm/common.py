@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_stemma_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = os.path.join(tempfile.mkdtemp(prefix="stemma-code-"), "stemma.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    context.addPyFile(path)
+    context._stemma_shipped = True
+
+
 def bound_arrow(spark: SparkSession) -> None:
-    """Bounds what Python workers receive at once. These settings change no result."""
+    """Bounds what Python workers receive at once, and sends them this package. These settings change no result."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
