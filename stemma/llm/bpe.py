@@ -54,7 +54,7 @@ class Bpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.packed = SegmentEncoder(lambda segs: [self.segment(s) for s in segs])
+        self.packed = SegmentEncoder(self.segment, lambda words: [self.segment(f" {w}") for w in words])
         self.pieces: dict[str, bytes] = {}
 
     # the monoid
@@ -148,7 +148,7 @@ class Bpe:
     def encode(self, text: str) -> bytes:
         """Packed ids of a text. Its halves meet where a match ends, so that their window is empty."""
         if len(text) <= LEAF_CHARS or not (at := self.cut(text, 0, len(text))):
-            return self.packed([text])[0]
+            return self.packed(text)
         return self.encode(text[:at]) + self.encode(text[at:])
 
     def decode(self, ids: bytes) -> bytes:

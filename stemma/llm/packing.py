@@ -7,9 +7,14 @@ takes constant time. The number of open bins is fixed; when a new one is needed
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from functools import partial
+from itertools import pairwise
+from unicodedata import category
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +22,8 @@ from pyspark.sql import functions as F
 from stemma.llm.common import bound_arrow, materialize
 from stemma.llm.segments import SegmentEncoder
 
+#: How a byte-level vocabulary writes a blank.
+BLANK = "\u0120"
 CAPACITY = 1024
 END = 2
 #: Bins that a task keeps open. Most are nearly full when they close.
@@ -62,17 +69,67 @@ class BestFit:
 _MADE: dict[str, SegmentEncoder] = {}
 
 
+def same_by_rank(tok) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if merging by rank is proven to give the ids of this tokenizer; else None.
+
+    Both merge alike as long as no two adjacent parts make up a token other than by its own merge. If each token's
+    bytes alone merge to the token, its last merge is its own, and any other two parts of it never stand side by side.
+    """
+    import json
+
+    from tokenizers import Tokenizer, models
+
+    model = json.loads(tok.to_str())["model"]
+    vocab, merges = model["vocab"], [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    plain = [chr(c) for c in (*range(33, 127), *range(161, 173), *range(174, 256))]
+    alphabet = {c: ord(c) for c in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in plain)}
+    if any(a >= b for a, b in pairwise(made)) or not alphabet.keys() <= vocab.keys() or len(made) + 256 > len(vocab):
+        return None
+    tokens = [*alphabet, *("".join(m) for m in merges)]
+    if {vocab[c] for c in alphabet} & set(made) or max(vocab[c] for c in alphabet) > made[0]:
+        return None
+    bare = Tokenizer(models.BPE(vocab, [tuple(m) for m in merges]))
+    if any(len(x.ids) != 1 for x in bare.encode_batch_fast(tokens)):
+        return None
+    return {bytes(alphabet[c] for c in t): vocab[t] for t in tokens}
+
+
 def load(path: str) -> SegmentEncoder:
     if path not in _MADE:
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-
-        def many(segs: list[str]) -> list[bytes]:
-            return [pa.array(x.ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(x.ids)] if x.ids else b"" for x in tok.encode_batch_fast(segs, add_special_tokens=False)]
-
-        _MADE[path] = SegmentEncoder(many)
+        ranks = same_by_rank(tok)
+        fast = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        # tokens that begin with a blank: among words joined by blanks, those that begin a word
+        led = np.zeros(tok.get_vocab_size(), bool)
+        led[[i for t, i in tok.get_vocab().items() if t.startswith(BLANK)]] = True
+
+        def ids_of(text: str) -> list[int]:
+            # characters that are new to Unicode can be of another class in another library
+            if fast is None or not text.isascii() and any(category(c) == "Cn" for c in set(text)):
+                return tok.encode(text, add_special_tokens=False).ids
+            return fast.encode_ordinary(text)
+
+        def encode(text: str) -> bytes:
+            return array("I", ids_of(text)).tobytes()
+
+        def words(them: list[str]) -> list[bytes]:
+            full = [w for w in them if w]
+            ids = np.array(ids_of(f" {' '.join(full)}") if full else [], np.uint32)
+            at = [*np.flatnonzero(led[ids]).tolist(), len(ids)]
+            packed = ids.tobytes()
+            out = [packed[4 * a : 4 * b] for a, b in pairwise(at)]
+            if len(out) != len(full):
+                raise ValueError("a word began without a blank's token")
+            found = iter(out)
+            return [next(found) if w else encode(" ") for w in them]
+
+        _MADE[path] = SegmentEncoder(encode, words)
     return _MADE[path]
 
 
@@ -85,14 +142,12 @@ def pieces_of(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def piece_batches(batches, path: str, capacity: int, end: int, with_ids: bool):
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encode, stop = load(path), end.to_bytes(4, "little")
     for batch in batches:
         rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode([text or ""])[0] + stop
+            ids = encode(text or "") + stop
             for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
                 part = ids[4 * start : 4 * (start + length)]
                 for name, v in zip(rows, (doc_id, k, start, length, zlib.crc32(part), memoryview(part).cast("I").tolist() if with_ids else None), strict=True):

@@ -2,7 +2,7 @@
 
 In public_tokenizers.PATTERN no match holds a non-space character followed by a white-space character, and no
 alternative looks back. So a cut between the two changes no match on either side: the ids of a text are the
-concatenated ids of its segments. Most segments are one blank and one word, and repeat, hence the bounded cache.
+concatenated ids of its segments. Most are a blank and a word, and repeat, hence the bounded cache.
 """
 
 from __future__ import annotations
@@ -10,47 +10,41 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: White space before a blank; there a blank may belong to a longer run of white space, and the plain split isn't safe.
+#: White space before a blank: there a blank may belong to a longer run of white space, so blanks alone don't say where to cut.
 _RUN = re.compile(r"\s ")
 _SEGMENT = re.compile(r"\s*\S+|\s+")
 
-#: Segments that a cache holds at most; then it starts anew. About 100 MB.
+#: Words that a cache holds at most; then it starts anew. About 100 MB.
 CACHE = 400_000
 
-#: Longer segments aren't cached.
+#: Longer words aren't kept.
 LONGEST = 64
 
 
-def segments(text: str) -> list[str]:
-    """text cut before runs of white space that follow another character; joined they give text again."""
-    if _RUN.search(text) is None:
-        head, *rest = text.split(" ")
-        out = [f" {x}" for x in rest]
-        return [head, *out] if head else out
-    return _SEGMENT.findall(text)
-
-
 class SegmentEncoder:
-    """Packed ids (little-endian unsigned 32 bits) of texts, by way of a bounded cache of their segments.
+    """Packed ids (little-endian unsigned 32 bits) of texts, by way of a bounded cache of words.
 
-    encode_many gives the ids of a list of segments.
+    encode gives the ids of any text. encode_words gives, for each of a list of words without blanks, the ids of the word after a blank.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], size: int = CACHE):
-        self.encode_many, self.size, self.known = encode_many, size, {}
+    def __init__(self, encode: Callable[[str], bytes], encode_words: Callable[[list[str]], list[bytes]], size: int = CACHE):
+        self.encode, self.encode_words, self.size, self.known = encode, encode_words, size, {}
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [segments(x) for x in texts]
+    def __call__(self, text: str) -> bytes:
+        if _RUN.search(text) is not None:
+            return b"".join(map(self.encode, _SEGMENT.findall(text)))
+        head, *words = text.split(" ")
         known = self.known
-        missing = list({s for x in cut for s in x if s not in known})
-        if len(known) + len(missing) > self.size:
+        missing = list(set(words).difference(known))
+        if missing:
+            if len(known) + len(missing) > self.size:
+                known.clear()
+                missing = list(set(words))
+            known.update(zip(missing, self.encode_words(missing), strict=True))
+        out = (self.encode(head) if head else b"") + b"".join(map(known.__getitem__, words))
+        if len(known) > self.size:
             known.clear()
-            missing = list({s for x in cut for s in x})
-        known.update(zip(missing, self.encode_many(missing), strict=True))
-        out = [b"".join(map(known.__getitem__, x)) for x in cut]
         for s in missing:
             if len(s) > LONGEST:
-                del known[s]
-        if len(known) > self.size:
-            known.clear()
+                known.pop(s, None)
         return out
