@@ -6,10 +6,11 @@ first, a class enters only the lists of as many values as must hold one that it
 similar to. Values that nobody else retains give no list. The union of two sketches estimates the similarity
 of a pair; those that may pass are verified on full sets.
 
-Lists may be long: a third of all texts can be near copies of one. So no list is ever expanded into all of its pairs
-at first. Each list compares its members with its most central one, whose retained values are the most popular: near copies
-of one text meet there. What is linked then counts as one component, and only lists that still hold several
-components go on, without the members that have met all others.
+Lists may be long: a third of all texts can be near copies of one. So a list is never expanded into its pairs. Each
+compares its members with its most central one, whose retained values are the most popular: near copies of one text
+meet there. What is linked then is one component. Of lists that still hold several components, those around the same
+central text are one cluster, and its members outside the central component are compared with all its members in
+blocks: a task holds two blocks, compares exactly, and gives only links that join two components.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import bound_arrow, discard, materialize
+from stemma.llm.common import bound_arrow, materialize
 from stemma.llm.components import components
 from stemma.llm.shingles import shingle_set
 
@@ -32,8 +33,8 @@ WIDTH, PERCENT, SKETCH = 4, 80, 128
 SURE = 0.625
 #: Estimates from full sketches may be so much too low, five deviations; from whole sets they are exact.
 MARGIN = 0.19
-#: Lists up to so many members compare all pairs in the second round; longer ones deal out an eighth as pivots a round.
-SMALL_LIST = 1024
+#: Texts and shingles of one block.
+BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
 #: A pivot's set goes to so many tasks at most.
 SALTS = 64
 
@@ -61,11 +62,12 @@ def set_batches(batches, width: int):
 
 def estimate(a: np.ndarray, b: np.ndarray, percent: int, size: int) -> bool:
     """Whether the sketch of the union lets the two be similar enough."""
+    if len(a) < size and len(b) < size:  # both are whole sets
+        return exact(a, b, percent, size)
     union = np.union1d(a, b)[:size]
     both = np.intersect1d(a, b, assume_unique=True)
     both = int(np.searchsorted(both, union[-1], "right"))
-    whole = len(a) < size and len(b) < size
-    return 100 * both >= percent * len(union) if whole else 100 * both >= (percent - 100 * MARGIN) * len(union)
+    return 100 * both >= (percent - 100 * MARGIN) * len(union)
 
 
 def exact(a: np.ndarray, b: np.ndarray, percent: int, size: int) -> bool:
@@ -105,7 +107,7 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def lists_of(classes: DataFrame, percent: int, size: int) -> DataFrame:
-    """v, node, n, score, common: the inverted lists that classes must enter, without those of one member."""
+    """v, node, n, score: the inverted lists that classes must enter, without those of one member."""
     values = classes.select("node", "n", F.explode("sketch").alias("v"))
     often = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "list-sizes")
     found = values.join(often, "v").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
@@ -116,7 +118,7 @@ def lists_of(classes: DataFrame, percent: int, size: int) -> DataFrame:
     found = found.withColumn("enter", enter.cast("int")).where("enter > 0")
     score = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["df"])
     common = F.transform("l", lambda x: x["v"])
-    return found.select(F.explode(F.slice(common, F.lit(1), F.col("enter"))).alias("v"), "node", "n", score.alias("score"), common.alias("common"))
+    return found.select(F.explode(F.slice(common, F.lit(1), F.col("enter"))).alias("v"), "node", "n", score.alias("score"))
 
 
 def near_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int, size: int) -> DataFrame | None:
@@ -128,49 +130,101 @@ def near_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, width: int,
     one = rows.where("node is not null").join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(one, "doc_id").select("node", "text")
     full = materialize(texts.mapInArrow(partial(set_batches, width=width), "node long, data array<long>"), "sets")
-    # rows that share an id have different texts: the node says which set is meant
-    full = _checked(full)
-
-    links, labels, left, turn = None, None, lists, 0
-    while True:
-        turn += 1
-        state = left if labels is None else left.join(labels, "node", "left")
-        comp = F.col("node") if labels is None else F.coalesce("component", "node")
-        state = materialize(state.select("v", "node", "n", "score", "common", comp.alias("comp")), "open-lists")
-        heads = state.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("score", "node", "n", "comp")).alias("p"))
-        heads = heads.where("lo <> hi")
-        x, y = state.alias("x"), state.alias("y")
-        if turn == 1:
-            met = state.join(heads, "v").where((F.col("node") != F.col("p.node")) & (F.col("comp") != F.col("p.comp")) & _fits(F.col("n"), F.col("p.n"), percent))
-            pairs = met.select(F.col("p.node").alias("a"), F.col("node").alias("b"))
-            rest = state.join(heads.where("members > 2").select("v", "p.node", F.lit(1).alias("is")), ["v", "node"], "left_anti")
-            rest = rest.join(heads.where("members > 2").select("v"), "v", "left_semi")
-        else:
-            open_ = materialize(heads.select("v", "members"), "open-heads")
-            if not open_.limit(1).count():
-                break
-            least = F.floor(F.least(F.col("x.n"), F.col("y.n"), F.lit(size)) * SURE)
-            fit = (F.col("x.comp") != F.col("y.comp")) & _fits(F.col("x.n"), F.col("y.n"), percent)
-            fit &= F.size(F.array_intersect("x.common", "y.common")) >= least
-            pivot = (F.col("members") <= SMALL_LIST) | (F.pmod(F.xxhash64("v", "node", F.lit(turn)), F.lit(8)) == 0)
-            pivots = state.join(open_, "v").withColumn("pivot", pivot)
-            pivots = materialize(pivots, "pivots")
-            x, y = pivots.where("pivot").alias("x"), pivots.alias("y")
-            same = (F.col("x.v") == F.col("y.v")) & (~F.col("y.pivot") | (F.col("x.node") < F.col("y.node")))
-            pairs = x.join(y, same & fit).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-            rest = pivots.where("not pivot").select("v", "node", "n", "score", "common")
-        pairs = materialize(pairs.distinct(), "pairs")
-        maybe = meet(pairs, sketches, estimate, percent, size, "estimated")
-        found = meet(maybe, full, exact, percent, size, "links")
-        links = found if links is None else materialize(links.unionByName(found).distinct(), "links")
-        labels = materialize(components(links), "labels")
-        discard(pairs, maybe)
-        left = rest.select("v", "node", "n", "score", "common")
-    return labels
-
-
-def _checked(full: DataFrame) -> DataFrame:
-    return full.dropDuplicates(["node"])
+    full = full.dropDuplicates(["node"])
+
+    heads = lists.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node", "n")).alias("p"))
+    heads = materialize(heads.where("members > 1").select("v", "members", F.col("p.node").alias("p"), F.col("p.n").alias("pn")), "heads")
+    met = lists.join(heads, "v").where((F.col("node") != F.col("p")) & _fits(F.col("n"), F.col("pn"), percent))
+    pairs = materialize(met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    maybe = meet(pairs, sketches, estimate, percent, size, "estimated")
+    links = meet(maybe, full, exact, percent, size, "links")
+    labels = materialize(components(links), "labels")
+
+    # lists of three or more that still hold several components, as members of the clusters around their central texts
+    named = lists.join(labels, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("comp"))
+    named = materialize(named, "named-lists")
+    open_ = named.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("v")
+    open_ = heads.where("members > 2").join(open_, "v").select("v", "p")
+    members = named.join(open_, "v").select("p", "node", "n", "comp").distinct()
+    core = labels.select(F.col("node").alias("p"), F.col("component").alias("core"))
+    members = members.join(core, "p", "left").withColumn("outer", F.col("comp") != F.coalesce("core", "p")).drop("core")
+    members = materialize(members, "cluster-members")
+    found = blockwise(members, full, percent)
+    out = materialize(links.unionByName(found).distinct(), "all-links")
+    return materialize(components(out), "labels")
+
+
+def blockwise(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components, between the outer members of each cluster and all of its members."""
+
+    def blocks(which: Column) -> Column:
+        count, total = F.sum(F.when(which, 1).otherwise(0)), F.sum(F.when(which, F.col("n")).otherwise(0))
+        return F.greatest(F.lit(1), F.ceil(count / BLOCK_TEXTS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
+
+    sizes = members.groupBy("p").agg(blocks(F.col("outer")).alias("na"), blocks(F.lit(True)).alias("nb"), F.max("outer").alias("some"))
+    dealt = members.join(sizes.where("some").drop("some"), "p")
+
+    def part(n: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+
+    def others(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = dealt.where("outer").select("p", "node", "comp", F.lit(0).alias("side"), part("na", 1).alias("i"), others("nb").alias("j"))
+    right = dealt.select("p", "node", "comp", F.lit(1).alias("side"), part("nb", 2).alias("j"), others("na").alias("i"))
+    rows = left.unionByName(right).join(full, "node").select("p", "i", "j", "side", "node", "comp", "data")
+    rows = rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "side", "node")
+    return materialize(rows.mapInArrow(partial(block_batches, percent=percent), "a long, b long"), "block-links")
+
+
+def block_batches(batches, percent: int):
+    """Gathers the rows of one pair of blocks at a time."""
+    key, held = None, ([], [])
+    for batch in batches:
+        out, data = [], batch.column(6)
+        flat, ends = data.values.to_numpy(), data.offsets.to_numpy()
+        for k, (p, i, j, side, node, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+            if (p, i, j) != key:
+                out += block_links(*held, percent)
+                key, held = (p, i, j), ([], [])
+            held[side].append((node, comp, flat[ends[k] : ends[k + 1]].copy()))
+        yield _links(out)
+    yield _links(block_links(*held, percent))
+
+
+def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
+    """Of the similar pairs between two blocks of (node, component, set), those that join components not yet joined here."""
+    if not left or not right:
+        return []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    sizes = np.array([len(s) for _, _, s in right])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    values, flat = np.unique(np.concatenate([s for _, _, s in right]), return_inverse=True)
+    seen, out = np.zeros(len(values) + 1, bool), []
+    for node, comp, own in left:
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        at = at[values[at] == own]
+        seen[at] = True
+        both = np.add.reduceat(seen[flat], starts, dtype=np.int64)
+        seen[at] = False
+        for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
+            other, theirs, _ = right[k]
+            x, y = find(comp), find(theirs)
+            if node != other and x != y:
+                parent[x] = y
+                out.append((node, other))
+    return out
 
 
 def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size: int = SKETCH) -> DataFrame:
