@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, exact, fingerprint, html, lines, minhash, packing, quality
+from stemma.llm import bpe, exact, fingerprint, html, lines, minhash, packing, quality, substrings
 from stemma.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), hashed=True)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,6 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_main_text, op4_near_dedup, op5_quality, op6_exact_dedup, op8_fingerprints, op9_best_fit_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_main_text, op4_near_dedup, op5_quality, op6_exact_dedup, op7_substring_dedup, op8_fingerprints, op9_best_fit_packing, op10_byte_bpe)}
 
 SQL = {"op1_line_dedup": lines.SQL, "op6_exact_dedup": exact.SQL}
