@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import bpe, exact, fingerprint, html, lines, minhash, packing, quality, substrings
+from stemma.llm import bpe, exact, fingerprint, html, lines, minhash, packing, pii, quality, substrings
 from stemma.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -46,6 +50,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_main_text, op4_near_dedup, op5_quality, op6_exact_dedup, op7_substring_dedup, op8_fingerprints, op9_best_fit_packing, op10_byte_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_surrogates,
+        op3_main_text,
+        op4_near_dedup,
+        op5_quality,
+        op6_exact_dedup,
+        op7_substring_dedup,
+        op8_fingerprints,
+        op9_best_fit_packing,
+        op10_byte_bpe,
+    )
+}
 
 SQL = {"op1_line_dedup": lines.SQL, "op6_exact_dedup": exact.SQL}
