@@ -1,24 +1,50 @@
-"""A corpus pipeline of the training-data operators."""
+"""A corpus pipeline of the training-data operators.
 
-from __future__ import annotations
+Five stages: the quality classifier drops what it rejects, exact dedup and near-dedup keep one text of each group,
+personal data gives way to surrogates, and what is left is packed into sequences. Each stage reads all that the one
+before it kept, from Parquet.
+"""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-from stemma.llm import exact, packing
+from stemma.llm import exact, minhash, packing, pii, quality
 from stemma.llm.common import materialize, table
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.keep_first(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shingles of five words, similar from 0.8 on."""
+    return minhash.keep_one(docs, width=5, percent=80)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """n_chars follows the rewritten text."""
+    return pii.replace(docs).selectExpr(*[f"cast(length(text) as {docs.schema['n_chars'].dataType.simpleString()}) as n_chars" if c == "n_chars" else f"`{c}`" for c in docs.columns])
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact_copies), ("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("personal data", personal_data),
+    ("best-fit packing", pack),
+]
+
+#: The classifier, the sketches and the tokens are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
