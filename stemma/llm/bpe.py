@@ -15,6 +15,7 @@ import hashlib
 import heapq
 from array import array
 from functools import cache, partial
+from itertools import pairwise
 from unicodedata import category
 
 import pyarrow as pa
@@ -29,6 +30,7 @@ LEAF_BYTES = 16
 LEAF_CHARS = 1 << 16
 #: Stable pairs that are remembered at most.
 PAIRS = 500_000
+_NEVER = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,10 +61,19 @@ class Bpe:
 
     # the monoid
     def merge(self, part: bytes) -> list[int]:
-        """Encodes bytes by merging, lowest rank first, then leftmost: a heap over a linked list."""
+        """Encodes bytes by merging, lowest rank first, then leftmost. Short ones are searched, long ones use a heap over a linked list."""
         ranks, n = self.ranks, len(part)
-        if n < 2:
-            return [ranks[part]] if n else []
+        if n <= LEAF_BYTES:
+            at = list(range(n + 1))  # where the parts begin; costs are of the part and the next
+            costs = [ranks.get(part[i : i + 2], _NEVER) for i in range(n - 1)]
+            while costs and (least := min(costs)) != _NEVER:
+                k = costs.index(least)
+                del at[k + 1], costs[k]
+                if k < len(costs):
+                    costs[k] = ranks.get(part[at[k] : at[k + 2]], _NEVER)
+                if k:
+                    costs[k - 1] = ranks.get(part[at[k - 1] : at[k + 1]], _NEVER)
+            return [ranks[part[a:b]] for a, b in pairwise(at)]
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(part[i : i + 2])) is not None]
         heapq.heapify(heap)

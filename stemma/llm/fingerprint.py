@@ -14,6 +14,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,10 +136,11 @@ def fingerprint_batches(batches):
     """Rows come in the order part, then descending ids; a ghost row ends each part, the first of the next one."""
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-    held = None
+    held, grow = None, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for part, ghost, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, ghost, doc_id, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = grow(data).decode()
             now = (part, doc_id, text, filters(text))
             if held is not None and held[0] == part:
                 _, other_id, own, chain = held
@@ -152,7 +154,7 @@ def fingerprint_batches(batches):
 
 
 def in_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """part, ghost, doc_id, text: ranges of descending ids, each followed by the first row of the next (after the last: the first).
+    """part, ghost, doc_id, h, data (the compressed text): ranges of descending ids, each followed by the first row of the next (after the last: the first).
 
     Bounds come from approximate quantiles of the ids. One row for each part is what the driver holds of the data.
     Texts are shuffled once.
@@ -164,17 +166,24 @@ def in_parts(docs: DataFrame, parts: int) -> DataFrame:
     bucket = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket).cast("int")
     rows = rows.select(bucket.alias("part"), "doc_id", "text")
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     first = rows.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    if not first:
-        return rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text")
     # of rows with the top id of a part, the first in the order above is its first row
     heads = spark.createDataFrame([(r.part, r.top, first[k - 1].part) for k, r in enumerate(first)], "p int, top long, before int")
     at_top = rows.join(F.broadcast(heads), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top")))
     ghosts = at_top.groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "doc_id")).alias("x"))
     ghosts = ghosts.select(F.col("before").alias("part"), F.lit(True).alias("ghost"), "x.doc_id", "x.text")
-    every = rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts)
-    return every.repartitionById(len(cuts) + 2, F.col("part")).sortWithinPartitions("part", "ghost", *order)
+    every = rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts) if first else rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text")
+    # texts go through the exchange compressed, each by itself
+    packed = every.withColumn("h", F.xxhash64("text")).mapInArrow(compress_batches, "part int, ghost boolean, doc_id long, h long, data binary")
+    return packed.repartitionById(len(cuts) + 2, F.col("part")).sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h")
+
+
+def compress_batches(batches):
+    shrink = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        part, ghost, doc_id, text, h = batch.columns
+        data = pa.array([shrink(t.encode()) for t in text.to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([part, ghost, doc_id, h, data], names=["part", "ghost", "doc_id", "h", "data"])
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
