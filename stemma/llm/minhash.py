@@ -121,13 +121,13 @@ def lists_of(classes: DataFrame, percent: int, size: int) -> DataFrame:
     return found.select(F.explode(F.slice(common, F.lit(1), F.col("enter"))).alias("v"), "node", "n", score.alias("score"))
 
 
-def near_links(docs: DataFrame, classes: DataFrame, rows: DataFrame, width: int, percent: int, size: int) -> DataFrame | None:
-    """node, component of all classes that are linked to another; None if none is."""
+def near_links(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, percent: int, size: int) -> DataFrame:
+    """node, component of all classes that are linked to another."""
     lists = materialize(lists_of(classes, percent, size), "lists")
     sketches = classes.select("node", F.col("sketch").alias("data"))
     inside = lists.select("node").distinct()
     # full sets of the classes in lists, from one row of each
-    one = rows.where("node is not null").join(inside, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    one = ids.select("node", F.col("least").alias("doc_id")).join(inside, "node", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(one, "doc_id").select("node", "text")
     full = materialize(texts.mapInArrow(partial(set_batches, width=width), "node long, data array<long>"), "sets")
     full = full.dropDuplicates(["node"])
@@ -242,8 +242,9 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size
     rows = materialize(texts.mapInArrow(partial(sketch_batches, width=width, size=size), schema), "sketches")
     classes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
-    labels = near_links(docs, classes, rows, width, percent, size)
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
+    ids = materialize(ids, "class-sizes")
+    labels = near_links(docs, classes, ids, width, percent, size)
     ids = ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = materialize(ids, "class-ids")
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
