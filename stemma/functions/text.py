@@ -82,4 +82,4 @@ def placeholders(text: Column) -> Column:
 
 def audited_axioms(line: Column) -> Column:
     """Names between the brackets of an audit line, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(F.regexp_extract(line, r"depends on axioms: \[([^]]*)\]", 1), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_extract(line, r"depends on axioms: \[([^]]*)\]", 1), ","), lambda x: F.trim(x)), lambda x: x != "")

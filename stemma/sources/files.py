@@ -59,7 +59,7 @@ def stale_files(entries: DataFrame, files: DataFrame) -> DataFrame:
 def audit_entries(lines: DataFrame) -> DataFrame:
     """declaration, axiom from captured lines (value) of the form 'name' depends on axioms: [a, b]."""
     hit = lines.where(F.col("value").rlike(r"^'[^']+' depends on axioms:"))
-    names = F.filter(F.transform(F.split(F.regexp_extract("value", r"depends on axioms: \[([^]]*)\]", 1), ","), F.trim), lambda x: x != "")
+    names = F.filter(X, lambda x: x != "")
     return hit.select(F.regexp_extract("value", r"^'([^']+)' depends on axioms:", 1).alias("declaration"), F.explode_outer(names).alias("axiom"))
 
 
