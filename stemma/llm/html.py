@@ -173,6 +173,9 @@ LABELLED = [
     [(3, 0.5, 0, 0, 0), (4, 1.0, 1, 1, 1), (5, 0.6, 1, 0, 1), (2, 1.0, 1, 0, 1), (1, 0.0, 1, 0, 1), (4, 1.0, 0, 0, 0)],
     [(40, 0.0, -1, 0, 0), (90, 0.0, -1, 0, 0), (28, 0.0, -1, 0, 0), (75, 0.0, -1, 0, 0), (55, 0.0, -1, 0, 0), (300, 0.0, -1, 0, 0), (65, 0.0, 1, 0, 1)],
     [(110, 0.0, 0, 0, 1), (34, 0.0, -1, 0, 0), (85, 0.0, -1, 0, 0), (50, 0.0, -1, 0, 0), (95, 0.0, 0, 0, 1)],
+    [(2, 1.0, 0, 0, 0), (60, 0.0, 0, 0, 1), (45, 0.1, 0, 0, 1), (9, 1.0, 0, 0, 0)],
+    [(3, 0.9, 0, 0, 0), (12, 0.8, 0, 0, 0), (7, 0.0, 0, 1, 1), (52, 0.0, 0, 0, 1), (38, 0.2, 0, 0, 1), (4, 0.6, 0, 0, 0), (10, 0.7, 0, 0, 0)],
+    [(16, 0.7, 0, 0, 0), (64, 0.0, 0, 0, 1), (40, 0.5, 0, 0, 0), (5, 1.0, 0, 0, 0)],
     [(30, 0.8, 0, 0, 0), (20, 0.6, 0, 0, 0), (40, 0.0, 0, 0, 1), (14, 0.0, 0, 0, 1), (35, 0.1, 0, 0, 1), (4, 0.0, 0, 0, 0), (3, 0.7, 0, 0, 0)],
 ]
 
