@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.session import cut, some
+from stemma.session import cut, ship, some
 
 #: Turns after which a loop fails loudly: the longest path that is followed.
 TURNS = 200
@@ -131,5 +131,6 @@ def assemble(candidates: DataFrame, graph: str = "graph") -> DataFrame:
             out.append((getattr(r, graph), r.src, r.dst, reason is None, reason))
         return pd.DataFrame(out, columns=[graph, "src", "dst", "accepted", "reason"])
 
+    ship(candidates.sparkSession)
     kind = dict(candidates.dtypes)
     return candidates.groupBy(graph).applyInPandas(grow, f"{graph} {kind[graph]}, src {kind['src']}, dst {kind['dst']}, accepted boolean, reason string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from stemma.session import ship
+
 EPS = 1e-9
 
 
@@ -80,6 +82,7 @@ def signed_l1_by_graph(rows: DataFrame) -> DataFrame:
             out.append((r.graph, got and got[0], bool(got and certificate(points, target, *got))))
         return pd.DataFrame(out, columns=["graph", "value", "certified"])
 
+    ship(rows.sparkSession)
     kind = dict(rows.dtypes)["graph"]
     return rows.groupBy("graph").applyInPandas(solve, f"graph {kind}, value double, certified boolean")
 
@@ -144,5 +147,6 @@ def perfect_by_graph(edges: DataFrame) -> DataFrame:
         whole = (1 << n) - 1
         return pd.DataFrame([(pdf["graph"].iloc[0], bad is None, checked, bad, chromatic(adjacent, whole), clique(adjacent, whole))], columns=["graph", "perfect", "checked", "counterexample", "chi", "omega"]).astype({"counterexample": "Int64"})
 
+    ship(edges.sparkSession)
     kind = dict(edges.dtypes)["graph"]
     return edges.groupBy("graph").applyInPandas(check, f"graph {kind}, perfect boolean, checked long, counterexample long, chi int, omega int")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,17 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
 
 def some(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_stemma_shipped", False):
+        return
+    top = Path(__file__).resolve().parent
+    path = os.path.join(tempfile.mkdtemp(prefix="stemma-code-"), "stemma.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    context.addPyFile(path)
+    context._stemma_shipped = True

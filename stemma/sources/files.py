@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.functions.text import bare_hash
+from stemma.functions.text import audited_axioms, bare_hash
 
 WHITELIST = ("path", "file", "artifact", "manifest", "source", "log", "schema")
 
@@ -59,8 +59,7 @@ def stale_files(entries: DataFrame, files: DataFrame) -> DataFrame:
 def audit_entries(lines: DataFrame) -> DataFrame:
     """declaration, axiom from captured lines (value) of the form 'name' depends on axioms: [a, b]."""
     hit = lines.where(F.col("value").rlike(r"^'[^']+' depends on axioms:"))
-    names = F.filter(X, lambda x: x != "")
-    return hit.select(F.regexp_extract("value", r"^'([^']+)' depends on axioms:", 1).alias("declaration"), F.explode_outer(names).alias("axiom"))
+    return hit.select(F.regexp_extract("value", r"^'([^']+)' depends on axioms:", 1).alias("declaration"), F.explode_outer(audited_axioms(F.col("value"))).alias("axiom"))
 
 
 def leaf_paths(documents: DataFrame, keys: tuple[str, ...] = WHITELIST) -> DataFrame:
