@@ -2,37 +2,23 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stemma.session import ship
+
 #: Rows and bytes of one Arrow batch between the JVM and Python, so that long texts don't add up to a large batch.
 ARROW_ROWS = 512
 ARROW_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_stemma_shipped", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    path = os.path.join(tempfile.mkdtemp(prefix="stemma-code-"), "stemma.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    context.addPyFile(path)
-    context._stemma_shipped = True
-
-
 def bound_arrow(spark: SparkSession) -> None:
     """Bounds what Python workers receive at once, and sends them this package. These settings change no result."""
     ship(spark)
@@ -55,9 +41,14 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: a cut in the lineage that outlives executors."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # once it is written, the files of its exchanges can go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stemma_path = path
     return out
 

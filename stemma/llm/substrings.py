@@ -22,11 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import bound_arrow, materialize
+from stemma.llm.common import bound_arrow, discard, materialize
 from stemma.llm.shingles import mix, pair, word_hashes
 
 #: Words of a window, and rounds of naming.
-WINDOW, ROUNDS = 35, 5
+WINDOW, ROUNDS = 35, 6
+#: Runs are named in one round of so many, from the first; between, only periodic text has any.
+RUNS = 8
 #: A window or symbol with more than 1/HOT_SHARE of all occurrences is hot; there are fewer than HOT_SHARE.
 HOT_SHARE = 1000
 
@@ -47,13 +49,14 @@ def recompress(h: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.n
     for step in range(rounds):
         if len(name) < 2:
             break
-        # runs: how far one reaches depends on both neighbours
-        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        size = np.diff(np.concatenate([start, [len(name)]]))
-        low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-        name = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start])
-        every = np.ones(len(name), bool)
-        low, high = borders(low, high, every, every)
+        if step % RUNS == 0:
+            # how far a run reaches depends on both neighbours
+            start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+            size = np.diff(np.concatenate([start, [len(name)]]))
+            low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
+            name = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start])
+            every = np.ones(len(name), bool)
+            low, high = borders(low, high, every, every)
         # pairs: the bit is a new one each round
         bit = (mix(name + np.uint64(step + 1)) & np.uint64(1)).astype(bool)
         joins = np.concatenate([~bit[:-1] & bit[1:], [False]])
@@ -78,20 +81,47 @@ def _lists(cols: list[list[np.ndarray]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*cols, np.zeros(0, np.int64)]), kind))
 
 
+#: Words that are handled at a time, unless one text has more.
+GROUP_WORDS = 1 << 18
+
+
+def groups(texts: list[str | None]):
+    """Hashes of the words of several texts in one string, with a border of its own around each: first, hashes, starts, ends.
+
+    A border is a name that no word has, so nothing that depends on texts' insides alone reaches across it.
+    """
+    held, first, total = [], 0, 0
+    for k, text in enumerate(texts):
+        held.append(word_hashes(words_of(text)))
+        total += len(held[-1])
+        if total >= GROUP_WORDS or k == len(texts) - 1:
+            borders = mix(np.arange(len(held) + 1, dtype=np.uint64) + np.uint64(0x5BF03635AF3D2B1C))
+            sizes = np.array([len(h) for h in held])
+            starts = np.cumsum([1, *(sizes[:-1] + 1)])
+            parts = [borders[:1]]
+            for h, border in zip(held, borders[1:], strict=True):
+                parts += [h, border.reshape(1)]
+            yield first, held, np.concatenate(parts), starts, starts + sizes
+            held, first, total = [], k + 1, 0
+
+
+def inner_symbols(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, rounds: int):
+    """Names, spans and texts of the symbols that some window of a text holds the span of, in order."""
+    name, low, high = recompress(h, rounds)
+    owner = np.maximum(np.searchsorted(starts, low, "right") - 1, 0)
+    held = (low >= starts[owner]) & (high <= ends[owner]) & (high - low <= window)
+    return name[held], low[held], high[held], owner[held]
+
+
 def symbol_batches(batches, window: int, rounds: int):
-    """uid of the text's words, their number, and the names of the symbols that some window holds the span of."""
+    """uid of the text's words, their number, and the names of its inner symbols."""
     for batch in batches:
         uid, n, names = [], [], []
-        for text in batch.column(1).to_pylist():
-            words = words_of(text)
-            h = word_hashes(words)
-            n.append(len(h))
-            uid.append(_uid(h))
-            if len(h) < window:
-                names.append(np.zeros(0, np.int64))
-                continue
-            name, low, high = recompress(h, rounds)
-            names.append(name[(low >= 0) & (high <= len(h)) & (high - low <= window)].view(np.int64))
+        for _, held, h, starts, ends in groups(batch.column(1).to_pylist()):
+            uid += [_uid(x) for x in held]
+            n += [len(x) for x in held]
+            name, _, _, owner = inner_symbols(h, starts, ends, window, rounds)
+            names += np.split(name.view(np.int64), np.searchsorted(owner, np.arange(1, len(held))))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), _lists(names, pa.int64())], names=["doc_id", "uid", "n", "names"])
 
 
@@ -119,34 +149,37 @@ def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def candidate_starts(h: np.ndarray, once: np.ndarray, window: int, rounds: int) -> np.ndarray:
-    """Starts of the windows that hold no symbol that occurs once. `once` are places among the names that symbol_batches() gives."""
-    n = len(h) - window + 1
-    _, low, high = recompress(h, rounds)
-    held = (low >= 0) & (high <= len(h)) & (high - low <= window)
-    low, high = low[held][once], high[held][once]
-    # a window that starts in high - window .. low holds the span
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, np.maximum(high - window, 0), 1)
-    np.add.at(change, np.minimum(low, n - 1) + 1, -1)
-    return np.flatnonzero(np.cumsum(change[:n]) == 0)
-
-
 def window_batches(batches, window: int, rounds: int):
-    """uid, copies, start and hashes of each candidate window."""
+    """uid, copies, start and hashes of the windows that hold no symbol that occurs once.
+
+    again has the places, among a text's inner symbols, of those that occur twice or more.
+    """
     for batch in batches:
-        for k in range(batch.num_rows):
-            uid, copies, text, repeated = (batch.column(c)[k] for c in range(4))
-            h = word_hashes(words_of(text.as_py()))
-            _, low, high = recompress(h, rounds)
-            n = int(((low >= 0) & (high <= len(h)) & (high - low <= window)).sum())
-            once = np.ones(n, bool)
-            again = repeated.values
-            once[again.to_numpy() if again is not None else []] = False
-            starts = candidate_starts(h, np.flatnonzero(once), window, rounds)
-            if len(starts):
+        uid, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        again = batch.column(3).to_pylist()
+        for first, _, h, starts, ends in groups(batch.column(2).to_pylist()):
+            if len(h) < window:
+                continue
+            _, low, high, owner = inner_symbols(h, starts, ends, window, rounds)
+            once = np.ones(len(low), bool)
+            begins = np.searchsorted(owner, np.arange(len(starts)))
+            places = [begins[k] + np.array(again[first + k], np.int64) for k in range(len(starts)) if again[first + k]]
+            if places:
+                once[np.concatenate(places)] = False
+            low, high, owner = low[once], high[once], owner[once]
+            n = len(h) - window + 1
+            change = np.zeros(n + 1, np.int64)
+            # a window that starts in high - window .. low holds the span; one across a border is none
+            np.add.at(change, np.maximum(high - window, 0), 1)
+            np.add.at(change, np.minimum(low + 1, n), -1)
+            own = np.zeros(n, bool)
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                own[a : max(a, b - window + 1)] = True
+            at = np.flatnonzero(own & (np.cumsum(change[:n]) == 0))
+            if len(at):
                 a, b = window_hashes(h, window)
-                cols = [np.full(len(starts), uid.as_py()), np.full(len(starts), copies.as_py()), starts, a[starts], b[starts]]
+                text = np.searchsorted(starts, at, "right") - 1
+                cols = [uid[first + text], copies[first + text], at - starts[text], a[at], b[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["uid", "copies", "start", "a", "b"])
 
 
@@ -205,12 +238,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     # texts of equal words are one text with a number of copies
     one = rows.where(F.col("n") >= window).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("names").alias("names"))
     one = materialize(one, "distinct-texts")
+    ids = materialize(rows.select("doc_id", "uid"), "text-ids")
+    copied = materialize(one.select("uid", "copies"), "copies")
+    discard(rows)
 
     places = one.select("uid", "copies", F.posexplode("names").alias("at", "name"))
     again = repeated_keys(places, ["name"], "copies").groupBy("uid").agg(F.collect_list("at").alias("again"))
     # texts in which some window could be repeated: those with a repeated symbol (where no symbol fits, every window is a candidate)
     bare = one.where(F.size("names") == 0).select("uid", F.array().cast("array<int>").alias("again"))
     open_ = materialize(again.unionByName(bare).join(one.select("uid", "copies", "least"), "uid"), "open-texts")
+    discard(one)
     # a text that has copies is repeated as a whole; it counts for others all the same
     wanted = open_.withColumnRenamed("least", "doc_id")
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("uid", "copies", "text", "again")
@@ -218,8 +255,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     windows = materialize(windows, "windows")
     starts = repeated_keys(windows, ["a", "b"], "copies").groupBy("uid").agg(F.collect_list("start").alias("starts"))
 
-    touched = one.select("uid", "copies").join(starts, "uid", "left").where("copies > 1 or starts is not null")
-    named = rows.select("doc_id", "uid").join(materialize(touched, "touched"), "uid").select("doc_id", "uid", "copies", "starts")
+    touched = materialize(copied.join(starts, "uid", "left").where("copies > 1 or starts is not null"), "touched")
+    discard(windows)
+    named = ids.join(touched, "uid").select("doc_id", "uid", "copies", "starts")
     return _finish(texts, named, window, hashed)
 
 
