@@ -187,7 +187,10 @@ def place(cut: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS,
     total = cut.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // task_tokens))
     mixed = F.xxhash64(F.lit(9), "doc_id", "piece", "start", "ids_crc32")
-    dealt = cut.repartition(tasks, mixed).sortWithinPartitions(mixed, "doc_id", "piece", "ids_crc32").withColumn("task", F.spark_partition_id())
+    # long pieces first, by runs that open no more than half of the bins: short ones then fill what those leave
+    runs = max(1, -(-total // (tasks * capacity * max(1, open_bins // 2))))
+    run = F.pmod(F.xxhash64(F.lit(8), mixed), F.lit(runs))
+    dealt = cut.repartition(tasks, mixed).sortWithinPartitions(run, F.col("length").desc(), mixed, "doc_id", "piece", "ids_crc32").withColumn("task", F.spark_partition_id())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
     return dealt.mapInArrow(partial(place_batches, capacity=capacity, open_bins=open_bins), schema)
 
