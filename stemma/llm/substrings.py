@@ -113,16 +113,32 @@ def inner_symbols(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: i
     return name[held], low[held], high[held], owner[held]
 
 
+def free_windows(low: np.ndarray, high: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: int, window: int) -> np.ndarray:
+    """Where the windows start that lie in one text and hold none of these spans."""
+    n = max(0, total - window + 1)
+    change = np.zeros(n + 1, np.int64)
+    # a window that starts in high - window .. low holds the span; one across a border is none
+    np.add.at(change, np.minimum(np.maximum(high - window, 0), n), 1)
+    np.add.at(change, np.minimum(low + 1, n), -1)
+    own = np.zeros(n, bool)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        own[a : max(a, b - window + 1)] = True
+    return np.flatnonzero(own & (np.cumsum(change[:n]) == 0))
+
+
 def symbol_batches(batches, window: int, rounds: int):
-    """uid of the text's words, their number, and the names of its inner symbols."""
+    """uid of the text's words, their number, whether a window holds no inner symbol, and the names of the inner symbols."""
     for batch in batches:
-        uid, n, names = [], [], []
+        uid, n, bare, names = [], [], [], []
         for _, held, h, starts, ends in groups(batch.column(1).to_pylist()):
             uid += [_uid(x) for x in held]
             n += [len(x) for x in held]
-            name, _, _, owner = inner_symbols(h, starts, ends, window, rounds)
+            name, low, high, owner = inner_symbols(h, starts, ends, window, rounds)
+            free = np.zeros(len(held), bool)
+            free[np.searchsorted(starts, free_windows(low, high, starts, ends, len(h), window), "right") - 1] = True
+            bare += free.tolist()
             names += np.split(name.view(np.int64), np.searchsorted(owner, np.arange(1, len(held))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), _lists(names, pa.int64())], names=["doc_id", "uid", "n", "names"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(bare, pa.bool_()), _lists(names, pa.int64())], names=["doc_id", "uid", "n", "bare", "names"])
 
 
 def _uid(h: np.ndarray) -> int:
@@ -167,15 +183,7 @@ def window_batches(batches, window: int, rounds: int):
             if places:
                 once[np.concatenate(places)] = False
             low, high, owner = low[once], high[once], owner[once]
-            n = len(h) - window + 1
-            change = np.zeros(n + 1, np.int64)
-            # a window that starts in high - window .. low holds the span; one across a border is none
-            np.add.at(change, np.maximum(high - window, 0), 1)
-            np.add.at(change, np.minimum(low + 1, n), -1)
-            own = np.zeros(n, bool)
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                own[a : max(a, b - window + 1)] = True
-            at = np.flatnonzero(own & (np.cumsum(change[:n]) == 0))
+            at = free_windows(low, high, starts, ends, len(h), window)
             if len(at):
                 a, b = window_hashes(h, window)
                 text = np.searchsorted(starts, at, "right") - 1
@@ -233,10 +241,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     """
     bound_arrow(docs.sparkSession)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    schema = "doc_id long, uid long, n long, names array<long>"
+    schema = "doc_id long, uid long, n long, bare boolean, names array<long>"
     rows = materialize(texts.mapInArrow(partial(symbol_batches, window=window, rounds=rounds), schema), "symbols")
     # texts of equal words are one text with a number of copies
-    one = rows.where(F.col("n") >= window).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("names").alias("names"))
+    one = rows.where(F.col("n") >= window).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("bare").alias("bare"), F.first("names").alias("names"))
     one = materialize(one, "distinct-texts")
     ids = materialize(rows.select("doc_id", "uid"), "text-ids")
     copied = materialize(one.select("uid", "copies"), "copies")
@@ -244,9 +252,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
 
     places = one.select("uid", "copies", F.posexplode("names").alias("at", "name"))
     again = repeated_keys(places, ["name"], "copies").groupBy("uid").agg(F.collect_list("at").alias("again"))
-    # texts in which some window could be repeated: those with a repeated symbol (where no symbol fits, every window is a candidate)
-    bare = one.where(F.size("names") == 0).select("uid", F.array().cast("array<int>").alias("again"))
-    open_ = materialize(again.unionByName(bare).join(one.select("uid", "copies", "least"), "uid"), "open-texts")
+    # texts in which some window could be repeated: those with a repeated symbol, or with a window that no symbol rules out
+    open_ = one.select("uid", "copies", "least", "bare").join(again, "uid", "left").where("bare or again is not null").drop("bare")
+    open_ = materialize(open_, "open-texts")
     discard(one)
     # a text that has copies is repeated as a whole; it counts for others all the same
     wanted = open_.withColumnRenamed("least", "doc_id")

@@ -53,3 +53,14 @@ def test_equal_substrings_have_equal_inner_symbols():
         inside = (low >= n) & (high <= n + 400)
         sides.append([(a, b - n, c - n) for a, b, c in zip(name[inside].tolist(), low[inside].tolist(), high[inside].tolist(), strict=True)])
     assert sides[0] == sides[1] and len(sides[0]) > 20
+
+
+def test_long_runs_inside_unique_prose(spark):
+    unique = iter(range(10**6))
+    fresh = lambda n: [f"u{next(unique)}" for _ in range(n)]
+    rows = [(1, " ".join(fresh(200) + ["na"] * 60 + fresh(200)))]
+    rows += [(k, " ".join(fresh(150) + ["la"] * n + fresh(150))) for k, n in ((2, 35), (3, 35), (4, 36))]
+    rows += [(5, " ".join(fresh(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == brute(rows)
+    assert {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()} == {1: 60, 2: 35, 3: 35, 4: 36, 5: 0}
