@@ -50,13 +50,13 @@ def recompress(h: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.n
         if len(name) < 2:
             break
         if step % RUNS == 0:
-            # how far a run reaches depends on both neighbours
+            # how far a run reaches depends on one symbol on either side, not on the whole run which that is part of
             start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
             size = np.diff(np.concatenate([start, [len(name)]]))
-            low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-            name = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start])
             every = np.ones(len(name), bool)
             low, high = borders(low, high, every, every)
+            low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
+            name = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start])
         # pairs: the bit is a new one each round
         bit = (mix(name + np.uint64(step + 1)) & np.uint64(1)).astype(bool)
         joins = np.concatenate([~bit[:-1] & bit[1:], [False]])

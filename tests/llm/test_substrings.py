@@ -64,3 +64,30 @@ def test_long_runs_inside_unique_prose(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert got(docs) == brute(rows)
     assert {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()} == {1: 60, 2: 35, 3: 35, 4: 36, 5: 0}
+
+
+def test_passages_that_end_in_runs_of_other_lengths(spark):
+    rng = random.Random(3)
+    unique = iter(range(10**6))
+    fresh = lambda n: [f"u{next(unique)}" for _ in range(n)]
+    rows = []
+    for k in range(150):  # a run goes on behind the passage, or comes before it, in one of two texts
+        p, more = fresh(33), ["k"] * rng.randrange(20, 40)
+        a, b = (p + ["k", "k"], p + ["k", "k"] + more) if k % 2 else (["k", "k"] + p, more + ["k", "k"] + p)
+        rows += [(2 * k, " ".join(fresh(50) + a + fresh(50))), (2 * k + 1, " ".join(fresh(50) + b + fresh(50)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs) == brute(rows)
+
+
+def test_spans_do_not_depend_on_what_lies_beyond():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        common = np.concatenate([np.full(2, 7), rng.integers(10, 400, 60), np.full(2, 7)]).astype(np.uint64)
+        sides = []
+        for n in (0, rng.integers(1, 60)):
+            run = np.full(n, 7, np.uint64)
+            h = np.concatenate([np.array([1, 2], np.uint64), run, common, run, np.array([3, 4], np.uint64)])
+            name, low, high = S.recompress(h, 6)
+            inside = (low >= n + 2) & (high <= n + 2 + len(common))
+            sides.append(list(zip(name[inside].tolist(), (low[inside] - n).tolist(), (high[inside] - n).tolist(), strict=True)))
+        assert sides[0] == sides[1]
