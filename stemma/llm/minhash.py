@@ -39,13 +39,18 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
 SALTS = 64
 
 
+def node_of(shingles: np.ndarray) -> int | None:
+    """The class of a text: a hash of its set; None without a shingle."""
+    return xxhash.xxh3_64_intdigest(shingles.tobytes()) >> 1 if len(shingles) else None
+
+
 def sketch_batches(batches, width: int, size: int):
     for batch in batches:
         n, node, sketches = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, width)
             n.append(len(s))
-            node.append(xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 if len(s) else None)
+            node.append(node_of(s))
             sketches.append(s[:size])
         ends = pa.array(np.cumsum([0, *map(len, sketches)]), pa.int32())
         values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sketches, np.zeros(0, np.int64)])))
@@ -53,11 +58,20 @@ def sketch_batches(batches, width: int, size: int):
 
 
 def set_batches(batches, width: int):
+    """Class and set of each text; a task gives a class once."""
+    seen: set[int] = set()
     for batch in batches:
-        sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
+        nodes, sets = [], []
+        for text in batch.column(0).to_pylist():
+            own = shingle_set(text, width)
+            node = node_of(own)
+            if node is not None and node not in seen:
+                seen.add(node)
+                nodes.append(node)
+                sets.append(own)
         ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
         values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["node", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), values], names=["node", "data"])
 
 
 def estimate(a: np.ndarray, b: np.ndarray, percent: int, size: int) -> bool:
@@ -121,15 +135,25 @@ def lists_of(classes: DataFrame, percent: int, size: int) -> DataFrame:
     return found.select(F.explode(F.slice(common, F.lit(1), F.col("enter"))).alias("v"), "node", "n", score.alias("score"))
 
 
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """node, data: the full sets of the wanted classes (node, least), and of other texts that share an id with one of those.
+
+    The class is that of the text itself, as ids may be shared; classes without an id are found by their sets alone.
+    """
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
+    sets, schema = partial(set_batches, width=width), "node long, data array<long>"
+    with_id = texts.join(wanted.where("least is not null").select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    without = texts.where("doc_id is null").select("text").mapInArrow(sets, schema)
+    without = without.join(wanted.where("least is null").select("node"), "node", "left_semi")
+    return with_id.select("text").mapInArrow(sets, schema).unionByName(without)
+
+
 def near_links(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, percent: int, size: int) -> DataFrame:
     """node, component of all classes that are linked to another."""
     lists = materialize(lists_of(classes, percent, size), "lists")
     sketches = classes.select("node", F.col("sketch").alias("data"))
     inside = lists.select("node").distinct()
-    # full sets of the classes in lists, from one row of each
-    one = ids.select("node", F.col("least").alias("doc_id")).join(inside, "node", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(one, "doc_id").select("node", "text")
-    full = materialize(texts.mapInArrow(partial(set_batches, width=width), "node long, data array<long>"), "sets")
+    full = materialize(full_sets(docs, ids.join(inside, "node", "left_semi"), width), "sets")
     full = full.dropDuplicates(["node"])
 
     heads = lists.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node", "n")).alias("p"))
@@ -235,6 +259,11 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size
     id take part as links between others; their component_id is null if no row there has an id, and they are kept only then.
     Rows that repeat an id and text are all kept or none. Other columns are ignored; an empty table gives an empty result.
     """
+    return _verdicts(docs, width, percent, size).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _verdicts(docs: DataFrame, width: int, percent: int, size: int) -> DataFrame:
+    """As near_dedup(), with the node and the component (of nodes) of each row's text."""
     spark = docs.sparkSession
     bound_arrow(spark)
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
@@ -248,7 +277,7 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size
     ids = ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = materialize(ids, "class-ids")
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
-    to = materialize(ids.join(named, "component").select("node", "component_id", "members"), "class-components")
+    to = materialize(ids.join(named, "component").select("node", "component", "component_id", "members"), "class-components")
     # classes of more than a thousandth of all rows, fewer than a thousand of them, are looked up in a broadcast
     n = rows.count()
     hot = F.broadcast(to.where(F.col("members") * 1000 > F.lit(n)).drop("members"))
@@ -256,16 +285,29 @@ def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size
     cold = rows.join(hot.select("node"), "node", "left_anti").join(to.drop("members"), "node", "left")
     out = rows.join(hot, "node").unionByName(cold)
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "n_shingles", "node", "component", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs that near_dedup() keeps, all columns; of rows that share id one stays."""
-    verdict = materialize(near_dedup(docs, width, percent), "near-verdict")
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id"))
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    if kept.groupBy("__id").count().where("count > 1").limit(1).count():
-        names = docs.columns
-        packed = out.select("doc_id", F.struct(*names).alias("__row"), F.xxhash64(*names).alias("__h"))
-        out = packed.groupBy("doc_id").agg(F.min_by("__row", "__h").alias("__row")).select("__row.*")
-    return out
+    """The rows of docs that near_dedup() keeps, all columns; of rows that share id and component one stays.
+
+    Rows without an id count as sharing theirs if a component holds them; those without a shingle all stay.
+    """
+    verdict = materialize(_verdicts(docs, width, percent, SKETCH), "near-verdict")
+    unclear = verdict.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1 or __id is null").select("__id")
+    unclear = materialize(unclear, "unclear-ids")
+    kept = verdict.where("kept").select(F.col("doc_id").alias("__id")).where("__id is not null")
+    id_ = F.col("doc_id").cast("long")
+    if not unclear.limit(1).count():
+        return docs.join(kept, id_ == F.col("__id"), "left_semi")
+    shared = unclear.where("__id is not null")
+    clear = docs.join(kept.join(shared, "__id", "left_anti"), id_ == F.col("__id"), "left_semi")
+    # an id that is missing or repeated doesn't tell which text is meant: the text's own class does
+    node = F.arrow_udf(lambda texts: pa.array([node_of(shingle_set(t, width)) for t in texts.to_pylist()], pa.int64()), "long")
+    own = docs.where("doc_id is null").unionByName(docs.join(shared, id_ == F.col("__id"), "left_semi"))
+    own = own.select(id_.alias("__id"), node(F.col("text").cast("string")).alias("__node"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__h"))
+    judged = verdict.where("kept").select(F.col("doc_id").alias("__of"), F.col("node").alias("__as"), F.col("component").alias("__component")).distinct()
+    own = own.join(judged, F.col("__id").eqNullSafe(F.col("__of")) & F.col("__node").eqNullSafe(F.col("__as")))
+    alone = F.col("__id").isNull() & F.col("__node").isNull()
+    one = own.where(~alone).groupBy("__id", "__component").agg(F.min_by("__row", "__h").alias("__row"))
+    return clear.unionByName(own.where(alone).select("__row.*")).unionByName(one.select("__row.*"))

@@ -92,3 +92,35 @@ def test_keep_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, node string")
     out = minhash.keep_one(docs)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect()), key=repr) == [(1, "a b c d e", "y"), (3, "", None), (4, None, None)]
+
+
+def _chain(rng, words, steps):
+    t, out = rng.choices(words, k=200), []
+    for _ in range(steps):  # each near to the next alone
+        out.append(" ".join(t))
+        t = t[12:] + rng.choices(words, k=12)
+    return out
+
+
+def test_chain_through_missing_and_repeated_ids(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(4000)]
+    a, b, c, d = (_chain(rng, words, 3) for _ in range(4))
+    rows = [(10, a[0]), (None, a[1]), (12, a[2])]  # a link without an id
+    rows += [(None, t) for t in b]  # no id at all
+    rows += [(20, c[0]), (20, c[1]), (20, c[2]), (20, d[0]), (21, d[1]), (22, d[2])]  # one id, two groups
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert {x[2] for x in want if x[0] in (10, 12)} == {10} and {x[2] for x in want if x[0] in (21, 22)} == {20}
+    assert got(docs) == want
+
+
+def test_keep_one_by_the_text_where_ids_do_not_tell(spark):
+    rng = random.Random(13)
+    words = [f"w{k}" for k in range(4000)]
+    a, b, c, d = (_chain(rng, words, 2) for _ in range(4))
+    lone = [" ".join(rng.choices(words, k=50)) for _ in range(3)]
+    rows = [(1, a[0]), (None, a[1]), (None, b[0]), (None, b[1]), (None, lone[0]), (None, lone[1]), (5, c[0]), (5, c[1]), (5, lone[2]), (2, d[0]), (6, d[1]), (6, lone[2]), (None, "")]
+    out = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = [{(1, a[0])}, {(None, b[0]), (None, b[1])}, {(None, lone[0])}, {(None, lone[1])}, {(5, c[0]), (5, c[1])}, {(5, lone[2])}, {(2, d[0])}, {(None, "")}]
+    assert len(out) == len(groups) and all(len(g & set(out)) == 1 for g in groups)
