@@ -250,7 +250,7 @@ def _matched(docs: DataFrame) -> DataFrame:
     names = F.array_join(F.array_distinct(F.transform("__who", lambda p: p["token"])), "|")
     pattern = F.when(F.size("__who") == 0, F.lit(ALL)).otherwise(F.concat(F.lit(ALL + r"|(?<!\p{L})(?:"), names, F.lit(r")(?!\p{L})")))
     docs = docs.withColumn("__re", pattern)
-    some = text.rlike(r"[@\d]") | (F.size("__who") > 0) | text.rlike("(?i)token|secret|passw|key")
+    some = text.rlike(r"[@\d]") | (F.size("__who") > 0) | text.rlike("(?i)token|secret|passw|key") | text.rlike("AKIA|gh[pousr]_|sk-")
     hits = F.when(some, F.regexp_extract_all(text, F.col("__re"), F.lit(0))).otherwise(F.array().cast("array<string>"))
     gaps = F.split(text, F.col("__re"), -1)
     return docs.withColumn("__hits", hits).withColumn("__gaps", F.when(F.size("__hits") > 0, gaps)).drop("__re")

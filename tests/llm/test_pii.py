@@ -81,3 +81,11 @@ def test_odd_rows(spark, odd, none):
     assert [c for c in out.columns if c != "n_entities"] == odd.columns and out.count() == odd.count()
     assert sorted((repr(r.doc_id), repr(r.text)) for r in out.collect()) == sorted((repr(r.doc_id), repr(r.text)) for r in odd.collect())
     assert pii.replace(none).count() == 0
+
+
+def test_keys_of_letters_alone(spark):
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqr" * 2, "sk-" + "abcdefghijklmnopqrstuvwx"]
+    got = run(spark, [(k, f"use {x} here") for k, x in enumerate(keys)] + [(9, "a risk-free task, in prose alone")])
+    for k, x in enumerate(keys):
+        assert got[k][1] == 1 and x not in got[k][0] and re.fullmatch(r"use \S+ here", got[k][0])
+    assert got[9] == ("a risk-free task, in prose alone", 0)
