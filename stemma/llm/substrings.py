@@ -9,6 +9,7 @@ symbols but for some at their ends. Each symbol carries the span of words that i
 If a window of words occurs twice, every symbol whose span lies inside occurs twice as well. So the symbols of the last
 round are counted over the corpus, and a window that holds a symbol which occurs once is unique. The
 remaining windows are verified: their own hashes are counted. Texts with equal words are first made one, with their number.
+Rows are told apart by their id and a hash of their text, so that rows without an id, or with one id, spread like any others.
 """
 
 from __future__ import annotations
@@ -23,12 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import bound_arrow, discard, materialize
-from stemma.llm.shingles import mix, pair, word_hashes
+from stemma.llm.shingles import mix, pair, span_hashes, word_spans
 
 #: Words of a window, and rounds of naming.
 WINDOW, ROUNDS = 35, 6
-#: Runs are named in one round of so many, from the first; between, only periodic text has any.
-RUNS = 8
 #: A window or symbol with more than 1/HOT_SHARE of all occurrences is hot; there are fewer than HOT_SHARE.
 HOT_SHARE = 1000
 
@@ -39,36 +38,37 @@ def recompress(h: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.n
     A symbol at an end of the text depends on what is beyond, too: its span reaches past the end, and is in no window.
     """
     name, n = h, len(h)
-    low, high = np.arange(n), np.arange(1, n + 1)
+    begin, low, high = np.arange(n), np.arange(n), np.arange(1, n + 1)
 
-    def borders(lo, hi, left, right):
-        """Spans that take in the neighbours' on the left and on the right, where the flags say so."""
-        before, after = np.concatenate([[-1], lo[:-1]]), np.concatenate([hi[1:], [n + 1]])
-        return np.where(left, np.minimum(lo, before), lo), np.where(right, np.maximum(hi, after), hi)
+    def borders(left, right, before, after):
+        """Spans that reach to before and to after, where the flags say so."""
+        return np.where(left, np.minimum(low, before), low), np.where(right, np.maximum(high, after), high)
 
     for step in range(rounds):
         if len(name) < 2:
             break
-        if step % RUNS == 0:
-            # how far a run reaches depends on one symbol on either side, not on the whole run which that is part of
-            start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-            size = np.diff(np.concatenate([start, [len(name)]]))
-            every = np.ones(len(name), bool)
-            low, high = borders(low, high, every, every)
-            low, high = np.minimum.reduceat(low, start), np.maximum.reduceat(high, start)
-            name = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start])
+        # runs: a neighbour is another symbol if the words next to the border differ, else all that the neighbour depends on tells
+        end = np.append(begin[1:], n)
+        first, last = h[begin], h[end - 1]
+        other_after, other_before = first[1:] != first[:-1], last[1:] != last[:-1]
+        after = np.append(np.where(other_after, end[:-1] + 1, high[1:]), n + 1)
+        before = np.concatenate([[-1], np.where(other_before, begin[1:] - 1, low[:-1])])
+        start = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        size = np.diff(np.append(start, len(name)))
+        low, high = np.minimum.reduceat(np.minimum(low, before), start), np.maximum.reduceat(np.maximum(high, after), start)
+        name, begin = np.where(size > 1, pair(name[start], size.astype(np.uint64)), name[start]), begin[start]
         # pairs: the bit is a new one each round
         bit = (mix(name + np.uint64(step + 1)) & np.uint64(1)).astype(bool)
-        joins = np.concatenate([~bit[:-1] & bit[1:], [False]])
+        joins = np.append(~bit[:-1] & bit[1:], False)
         joined = np.concatenate([[False], joins[:-1]])
         # one that stays alone depends on the neighbour that it could have joined
         alone = ~joins & ~joined
-        low2, high2 = borders(low, high, alone & bit, alone & ~bit)
+        low, high = borders(alone & bit, alone & ~bit, np.concatenate([[-1], low[:-1]]), np.append(high[1:], n + 1))
         keep = np.flatnonzero(~joined)
         right = np.minimum(keep + 1, len(name) - 1)
         both = joins[keep]
-        low, high = np.where(both, np.minimum(low2[keep], low2[right]), low2[keep]), np.where(both, np.maximum(high2[keep], high2[right]), high2[keep])
-        name = np.where(both, pair(name[keep], name[right]), name[keep])
+        low, high = np.where(both, np.minimum(low[keep], low[right]), low[keep]), np.where(both, np.maximum(high[keep], high[right]), high[keep])
+        name, begin = np.where(both, pair(name[keep], name[right]), name[keep]), begin[keep]
     return name, low, high
 
 
@@ -81,27 +81,29 @@ def _lists(cols: list[list[np.ndarray]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*cols, np.zeros(0, np.int64)]), kind))
 
 
-#: Words that are handled at a time, unless one text has more.
-GROUP_WORDS = 1 << 18
+#: Bytes of text that are handled at a time, unless one text has more.
+GROUP_BYTES = 1 << 21
 
 
 def groups(texts: list[str | None]):
-    """Hashes of the words of several texts in one string, with a border of its own around each: first, hashes, starts, ends.
+    """Hashes of the words of several texts in one string, with a border of its own around each: first, number of texts, hashes, starts, ends.
 
     A border is a name that no word has, so nothing that depends on texts' insides alone reaches across it.
     """
     held, first, total = [], 0, 0
     for k, text in enumerate(texts):
-        held.append(word_hashes(words_of(text)))
+        held.append((text or "").encode())
         total += len(held[-1])
-        if total >= GROUP_WORDS or k == len(texts) - 1:
-            borders = mix(np.arange(len(held) + 1, dtype=np.uint64) + np.uint64(0x5BF03635AF3D2B1C))
-            sizes = np.array([len(h) for h in held])
-            starts = np.cumsum([1, *(sizes[:-1] + 1)])
-            parts = [borders[:1]]
-            for h, border in zip(held, borders[1:], strict=True):
-                parts += [h, border.reshape(1)]
-            yield first, held, np.concatenate(parts), starts, starts + sizes
+        if total >= GROUP_BYTES or k == len(texts) - 1:
+            data = b" ".join(held)
+            starts, ends = word_spans(data)
+            at = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in held)]))
+            sizes = np.diff(at)
+            texts_starts = at[:-1] + np.arange(len(held)) + 1
+            names = np.empty(len(starts) + len(held) + 1, np.uint64)
+            names[np.arange(len(starts)) + np.repeat(np.arange(len(held)), sizes) + 1] = span_hashes(data, starts, ends)
+            names[np.append(texts_starts - 1, len(names) - 1)] = mix(np.arange(len(held) + 1, dtype=np.uint64) + np.uint64(0x5BF03635AF3D2B1C))
+            yield first, len(held), names, texts_starts, texts_starts + sizes
             held, first, total = [], k + 1, 0
 
 
@@ -130,19 +132,16 @@ def symbol_batches(batches, window: int, rounds: int):
     """uid of the text's words, their number, whether a window holds no inner symbol, and the names of the inner symbols."""
     for batch in batches:
         uid, n, bare, names = [], [], [], []
-        for _, held, h, starts, ends in groups(batch.column(1).to_pylist()):
-            uid += [_uid(x) for x in held]
-            n += [len(x) for x in held]
+        for _, k, h, starts, ends in groups(batch.column(2).to_pylist()):
+            uid += [xxhash.xxh3_64_intdigest(h[a:b].tobytes()) - (1 << 63) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            n += (ends - starts).tolist()
             name, low, high, owner = inner_symbols(h, starts, ends, window, rounds)
-            free = np.zeros(len(held), bool)
+            free = np.zeros(k, bool)
             free[np.searchsorted(starts, free_windows(low, high, starts, ends, len(h), window), "right") - 1] = True
             bare += free.tolist()
-            names += np.split(name.view(np.int64), np.searchsorted(owner, np.arange(1, len(held))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(bare, pa.bool_()), _lists(names, pa.int64())], names=["doc_id", "uid", "n", "bare", "names"])
-
-
-def _uid(h: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+            names += np.split(name.view(np.int64), np.searchsorted(owner, np.arange(1, k)))
+        cols = [*batch.columns[:2], pa.array(uid, pa.int64()), pa.array(n, pa.int64()), pa.array(bare, pa.bool_()), _lists(names, pa.int64())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "uid", "n", "bare", "names"])
 
 
 def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -166,24 +165,25 @@ def window_hashes(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_batches(batches, window: int, rounds: int):
-    """uid, copies, start and hashes of the windows that hold no symbol that occurs once.
+    """uid, copies, start and hashes of the windows that hold no symbol that occurs once; of rows with one uid in a batch, of the first.
 
     again has the places, among a text's inner symbols, of those that occur twice or more.
     """
     for batch in batches:
+        _, own = np.unique(batch.column(0).to_numpy(), return_index=True)  # repeated rows
+        batch = batch.take(pa.array(np.sort(own)))
         uid, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        again = batch.column(3).to_pylist()
-        for first, _, h, starts, ends in groups(batch.column(2).to_pylist()):
+        again = batch.column(3)
+        places, at_text = again.flatten().to_numpy(), np.cumsum([0, *again.value_lengths().fill_null(0).to_numpy()])
+        for first, k, h, starts, ends in groups(batch.column(2).to_pylist()):
             if len(h) < window:
                 continue
             _, low, high, owner = inner_symbols(h, starts, ends, window, rounds)
             once = np.ones(len(low), bool)
-            begins = np.searchsorted(owner, np.arange(len(starts)))
-            places = [begins[k] + np.array(again[first + k], np.int64) for k in range(len(starts)) if again[first + k]]
-            if places:
-                once[np.concatenate(places)] = False
-            low, high, owner = low[once], high[once], owner[once]
-            at = free_windows(low, high, starts, ends, len(h), window)
+            begins = np.searchsorted(owner, np.arange(k))
+            counts = np.diff(at_text[first : first + k + 1])
+            once[np.repeat(begins, counts) + places[at_text[first] : at_text[first + k]]] = False
+            at = free_windows(low[once], high[once], starts, ends, len(h), window)
             if len(at):
                 a, b = window_hashes(h, window)
                 text = np.searchsorted(starts, at, "right") - 1
@@ -200,19 +200,19 @@ def kept_words(words: list[bytes], starts: np.ndarray, window: int) -> list[byte
 
 
 def cut_batches(batches, window: int):
+    """doc_id, text, copies and starts of repeated windows to doc_id, n_words, n_removed and the words that stay."""
     for batch in batches:
-        ids, n, removed, texts = [], [], [], []
-        for doc_id, text, copies, starts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = words_of(text)
+        n, removed, texts = [], [], []
+        for text, copies, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            words = left = words_of(text)
             if len(words) >= window and copies and copies > 1:
                 left = []  # every window of a text that has a copy occurs there as well
-            else:
-                left = kept_words(words, np.array(starts, np.int64), window) if starts else words
-            ids.append(doc_id)
+            elif starts.is_valid:
+                left = kept_words(words, starts.values.to_numpy(), window)
             n.append(len(words))
             removed.append(len(words) - len(left))
             texts.append(b" ".join(left).decode())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
 
 def cut_and_hash(batches, window: int):
@@ -228,7 +228,9 @@ def repeated_keys(rows: DataFrame, keys: list[str], copies: str | None) -> DataF
     total = often.agg(F.sum("places")).first()[0] or 0
     hot = F.broadcast(often.where(F.col("places") * HOT_SHARE > F.lit(total)).select(*keys))  # fewer than HOT_SHARE
     cold = rows.join(hot, keys, "left_anti").join(often.select(*keys), keys, "left_semi")
-    return rows.join(hot, keys, "left_semi").unionByName(cold)
+    out = rows.join(hot, keys, "left_semi").unionByName(cold)
+    out.stemma_path = often.stemma_path
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, hashed: bool = False) -> DataFrame:
@@ -240,69 +242,42 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS,
     columns are ignored; an empty table gives an empty result.
     """
     bound_arrow(docs.sparkSession)
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
-    schema = "doc_id long, uid long, n long, bare boolean, names array<long>"
-    rows = materialize(texts.mapInArrow(partial(symbol_batches, window=window, rounds=rounds), schema), "symbols")
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "xxhash64(cast(text as string)) text_hash", "cast(text as string) text")
+    schema = "doc_id long, text_hash long, uid long, n long, bare boolean, names array<long>"
+    rows = materialize(texts.mapInArrow(partial(symbol_batches, window=window, rounds=rounds), schema).where(F.col("n") >= window), "symbols")
     # texts of equal words are one text with a number of copies
-    one = rows.where(F.col("n") >= window).groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least"), F.first("bare").alias("bare"), F.first("names").alias("names"))
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    one = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("copies"), least, F.first("bare").alias("bare"), F.first("names").alias("names"))
     one = materialize(one, "distinct-texts")
-    ids = materialize(rows.select("doc_id", "uid"), "text-ids")
+    ids = materialize(rows.select("doc_id", "text_hash", "uid").distinct(), "text-ids")
     copied = materialize(one.select("uid", "copies"), "copies")
     discard(rows)
 
     places = one.select("uid", "copies", F.posexplode("names").alias("at", "name"))
-    again = repeated_keys(places, ["name"], "copies").groupBy("uid").agg(F.collect_list("at").alias("again"))
+    repeated = repeated_keys(places, ["name"], "copies")
+    again = repeated.groupBy("uid").agg(F.collect_list("at").alias("again"))
     # texts in which some window could be repeated: those with a repeated symbol, or with a window that no symbol rules out
     open_ = one.select("uid", "copies", "least", "bare").join(again, "uid", "left").where("bare or again is not null").drop("bare")
     open_ = materialize(open_, "open-texts")
-    discard(one)
+    discard(one, repeated)
     # a text that has copies is repeated as a whole; it counts for others all the same
-    wanted = open_.withColumnRenamed("least", "doc_id")
-    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"])).select("uid", "copies", "text", "again")
-    windows = found.mapInArrow(partial(_own_windows, window=window, rounds=rounds), "uid long, copies long, start long, a long, b long")
+    wanted = open_.select("uid", "copies", "again", "least.doc_id", "least.text_hash")
+    found = texts.join(wanted, _same(texts, wanted)).select("uid", "copies", "text", "again")
+    windows = found.mapInArrow(partial(window_batches, window=window, rounds=rounds), "uid long, copies long, start long, a long, b long")
     windows = materialize(windows, "windows")
-    starts = repeated_keys(windows, ["a", "b"], "copies").groupBy("uid").agg(F.collect_list("start").alias("starts"))
-
-    touched = materialize(copied.join(starts, "uid", "left").where("copies > 1 or starts is not null"), "touched")
-    discard(windows)
-    named = ids.join(touched, "uid").select("doc_id", "uid", "copies", "starts")
-    return _finish(texts, named, window, hashed)
-
-
-def _own_windows(batches, window: int, rounds: int):
-    """As window_batches(), of the rows whose text is the one meant (rows may share an id)."""
-
-    def own():
-        for batch in batches:
-            mine = [_uid(word_hashes(words_of(t))) == u for u, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            seen: set[int] = set()
-            first = [m and not (u in seen or seen.add(u)) for m, u in zip(mine, batch.column(0).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(first, pa.bool_()))
-
-    return window_batches(own(), window, rounds)
+    repeated = repeated_keys(windows, ["a", "b"], "copies")
+    starts = repeated.groupBy("uid").agg(F.collect_list("start").alias("starts"))
+
+    touched = copied.join(starts, "uid", "left").where("copies > 1 or starts is not null")
+    # a text that has copies goes as a whole: its places aren't needed
+    touched = materialize(touched.select("uid", "copies", F.when(F.col("copies") == 1, F.col("starts")).alias("starts")), "touched")
+    discard(windows, repeated, open_, copied)
+    named = materialize(ids.join(touched, "uid").select("doc_id", "text_hash", "copies", "starts"), "verdicts")
+    discard(ids, touched)
+    both = texts.join(named, _same(texts, named), "left").select(texts["doc_id"], "text", "copies", "starts")
+    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if hashed else "text string")
+    return both.mapInArrow(partial(cut_and_hash if hashed else cut_batches, window=window), schema)
 
 
-def _finish(texts: DataFrame, named: DataFrame, window: int, hashed: bool) -> DataFrame:
-    schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if hashed else "text string")
-    verdict = named.groupBy("doc_id").agg(F.collect_list(F.struct("uid", "copies", "starts")).alias("v"))
-    both = texts.join(verdict, texts["doc_id"].eqNullSafe(verdict["doc_id"]), "left").select(texts["doc_id"], "text", "v")
-    run = partial(_match, window=window, run=cut_and_hash if hashed else cut_batches)
-    return both.mapInArrow(run, schema)
-
-
-def _match(batches, window: int, run):
-    """Picks for each row the verdict of its own text: rows may share an id."""
-
-    def rows():
-        for batch in batches:
-            copies, starts = [], []
-            for text, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                v = v or []
-                own = v if len(v) < 2 else [x for x in v if x["uid"] == _uid(word_hashes(words_of(text)))]
-                if len(v) == 1 and v[0]["uid"] != _uid(word_hashes(words_of(text))):
-                    own = []
-                copies.append(own[0]["copies"] if own else None)
-                starts.append(own[0]["starts"] if own else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(copies, pa.int64()), pa.array(starts, pa.list_(pa.int64()))], names=["doc_id", "text", "copies", "starts"])
-
-    return run(rows(), window)
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])

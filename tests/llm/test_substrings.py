@@ -91,3 +91,22 @@ def test_spans_do_not_depend_on_what_lies_beyond():
             inside = (low >= n + 2) & (high <= n + 2 + len(common))
             sides.append(list(zip(name[inside].tolist(), (low[inside] - n).tolist(), (high[inside] - n).tolist(), strict=True)))
         assert sides[0] == sides[1]
+
+
+def test_a_million_words_of_period_two_and_many_rows_without_an_id(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(5000)]
+    shared = rng.choices(words, k=50)
+    rows = [(1, "x y " * 500_000 + " ".join(rng.choices(words, k=60)))]
+    rows += [(None, " ".join(rng.choices(words, k=40) + (shared if k % 100 == 0 else []))) for k in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert got(docs) == brute(rows)
+
+
+def test_runs_are_named_in_each_round():
+    # a run of a pair that only the first round makes is named in the second: (1 2) * 300 gets few symbols
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        h = np.concatenate([rng.integers(10, 10**6, 50), np.tile(rng.integers(10**6, 2 * 10**6, 2), 300), rng.integers(10, 10**6, 50)]).astype(np.uint64)
+        name, _, _ = S.recompress(h, 8)
+        assert len(name) < 60
