@@ -22,16 +22,34 @@ def build(master: str = "local[*]", partitions: int = 8) -> SparkSession:
     )
 
 
-def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """Writes df into the folder that spark.checkpoint.dir names and reads it again; a folder of our own only where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a folder of our own in local mode; on a cluster an
+    error, as executors would each write to their own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="stemma-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/stemma/{tag}-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def cut(df: DataFrame, tag: str = "cut", path: str | None = None) -> DataFrame:
+    """Writes df into the shared folder and reads it again: the lineage ends there."""
+    spark = df.sparkSession
+    path = path or f"{shared_dir(spark)}/stemma/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stemma_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what cut() wrote, once nothing reads it any more."""
+    for df in frames:
+        if path := getattr(df, "stemma_path", None):
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def some(df: DataFrame) -> bool:
