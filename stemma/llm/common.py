@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.session import ship
+from stemma.session import cut, discard, shared_dir, ship
+
+__all__ = ["bound_arrow", "discard", "fresh", "materialize", "shared_path", "table"]
 
 #: Rows and bytes of one Arrow batch between the JVM and Python, so that long texts don't add up to a large batch.
 ARROW_ROWS = 512
@@ -26,15 +27,6 @@ def bound_arrow(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="stemma-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/stemma/{tag}-{uuid.uuid4().hex}"
 
@@ -45,26 +37,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # once it is written, the files of its exchanges can go
     try:
-        df.write.parquet(path)
+        out = cut(df, path=path)
     finally:
         spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
     out.stemma_path = path
     return out
 
 
-def discard(*frames: DataFrame) -> None:
-    """Deletes what materialize() wrote, once nothing reads it any more."""
-    for df in frames:
-        if path := getattr(df, "stemma_path", None):
-            delete(df.sparkSession, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def row_count(df: DataFrame) -> int:
-    return df.count()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have; names differ by case at least as much as Spark asks."""
+    taken, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out

@@ -10,7 +10,8 @@ Lists may be long: a third of all texts can be near copies of one. So a list is
 compares its members with its most central one, whose retained values are the most popular: near copies of one text
 meet there. What is linked then is one component. Of lists that still hold several components, those around the same
 central text are one cluster, and its members outside the central component are compared with all its members in
-blocks: a task holds two blocks, compares exactly, and gives only links that join two components.
+blocks: a task holds two blocks, filters their pairs by the same estimate, verifies on full sets, and gives only links that
+join two components. Blocks are small and dealt in turn, so that no task gets much more than another.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import bound_arrow, materialize
+from stemma.llm.common import bound_arrow, discard, fresh, materialize
 from stemma.llm.components import components
 from stemma.llm.shingles import shingle_set
 
@@ -34,9 +35,9 @@ SURE = 0.625
 #: Estimates from full sketches may be so much too low, five deviations; from whole sets they are exact.
 MARGIN = 0.19
 #: Texts and shingles of one block.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
-#: A pivot's set goes to so many tasks at most.
-SALTS = 64
+BLOCK_TEXTS, BLOCK_SHINGLES = 128, 1 << 19
+#: Pairs of one pivot that one task is meant to take, and the least number of tasks that a pivot's pairs are dealt to.
+SALT_PAIRS, SALTS = 1 << 14, 64
 
 
 def node_of(shingles: np.ndarray) -> int | None:
@@ -74,22 +75,34 @@ def set_batches(batches, width: int):
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), values], names=["node", "data"])
 
 
-def estimate(a: np.ndarray, b: np.ndarray, percent: int, size: int) -> bool:
+def estimate(a: np.ndarray, b: np.ndarray, percent: int, size: int, margin: float) -> bool:
     """Whether the sketch of the union lets the two be similar enough."""
     if len(a) < size and len(b) < size:  # both are whole sets
-        return exact(a, b, percent, size)
-    union = np.union1d(a, b)[:size]
-    both = np.intersect1d(a, b, assume_unique=True)
-    both = int(np.searchsorted(both, union[-1], "right"))
-    return 100 * both >= (percent - 100 * MARGIN) * len(union)
-
-
-def exact(a: np.ndarray, b: np.ndarray, percent: int, size: int) -> bool:
+        return exact(a, b, percent, size, margin)
+    return bool(estimates(a, [b], percent, size, margin)[0])
+
+
+def estimates(a: np.ndarray, others: list[np.ndarray], percent: int, size: int, margin: float) -> np.ndarray:
+    """The same for several b at once, some sketch being full: of the smallest values of each union, the share that both have."""
+    rows = np.full((len(others), 2 * size), np.iinfo(np.int64).max)
+    rows[:, : len(a)] = a
+    for k, b in enumerate(others):
+        rows[k, size : size + len(b)] = b
+    rows.sort(axis=1)
+    real = rows < np.iinfo(np.int64).max
+    twice = (rows[:, 1:] == rows[:, :-1]) & real[:, 1:]
+    new = np.concatenate([real[:, :1], real[:, 1:] & ~twice], axis=1)
+    rank = np.cumsum(new, axis=1)
+    both = (twice & (rank[:, 1:] <= size)).sum(axis=1)
+    return 100 * both >= (percent - 100 * margin) * np.minimum(rank[:, -1], size)
+
+
+def exact(a: np.ndarray, b: np.ndarray, percent: int, size: int, margin: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def meet_batches(batches, passes, percent: int, size: int):
+def meet_batches(batches, passes, percent: int, size: int, margin: float):
     """Rows come by (a, salt), the pivot's own first: each other is held against it."""
     at = held = None
     for batch in batches:
@@ -100,19 +113,21 @@ def meet_batches(batches, passes, percent: int, size: int):
             own = flat[ends[k] : ends[k + 1]]
             if b is None:
                 at, held = (a, salt), own.copy()
-            elif at == (a, salt) and passes(held, own, percent, size):
+            elif at == (a, salt) and passes(held, own, percent, size, margin):
                 out.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def meet(pairs: DataFrame, data: DataFrame, passes, percent: int, size: int, tag: str) -> DataFrame:
+def meet(pairs: DataFrame, data: DataFrame, passes, percent: int, size: int, margin: float, tag: str) -> DataFrame:
     """The pairs (a, b) whose data (node, data) pass. The data of a go once to each salt, however many pairs a has."""
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    # the pivot of all pairs, if there is but one, still leaves SALT_PAIRS to each salt
+    salts = max(SALTS, pairs.count() // SALT_PAIRS)
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
     others = salted.join(data.withColumnRenamed("node", "b"), "b").select("a", "b", "salt", "data")
     pivots = salted.select("a", "salt").distinct().join(data.withColumnRenamed("node", "a"), "a")
     rows = pivots.select("a", F.lit(None).cast("long").alias("b"), "salt", "data").unionByName(others)
     dealt = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return materialize(dealt.mapInArrow(partial(meet_batches, passes=passes, percent=percent, size=size), "a long, b long"), tag)
+    return materialize(dealt.mapInArrow(partial(meet_batches, passes=passes, percent=percent, size=size, margin=margin), "a long, b long"), tag)
 
 
 def _fits(n: Column, m: Column, percent: int) -> Column:
@@ -120,14 +135,14 @@ def _fits(n: Column, m: Column, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & n.isNotNull()
 
 
-def lists_of(classes: DataFrame, percent: int, size: int) -> DataFrame:
+def lists_of(classes: DataFrame, percent: int, size: int, share: float) -> DataFrame:
     """v, node, n, score: the inverted lists that classes must enter, without those of one member."""
     values = classes.select("node", "n", F.explode("sketch").alias("v"))
     often = materialize(values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "list-sizes")
     found = values.join(often, "v").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
     held = F.least("n", F.lit(size))
     # where partners may be larger than a sketch, the chance bound holds; below, the sketch is the set, and the bound is exact
-    sure = F.when(F.col("n") * 100 <= size * percent, F.ceil(held * percent / 100)).otherwise(F.floor(held * SURE)).cast("long")
+    sure = F.when(F.col("n") * 100 <= size * percent, F.ceil(held * percent / 100)).otherwise(F.floor(held * share)).cast("long")
     enter = held - sure + 1 - (held - F.size("l"))  # the values that only this class retains come first
     found = found.withColumn("enter", enter.cast("int")).where("enter > 0")
     score = F.aggregate("l", F.lit(0).cast("long"), lambda s, x: s + x["df"])
@@ -148,21 +163,23 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return with_id.select("text").mapInArrow(sets, schema).unionByName(without)
 
 
-def near_links(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, percent: int, size: int) -> DataFrame:
+def near_links(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int, percent: int, size: int, certain: bool) -> DataFrame:
     """node, component of all classes that are linked to another."""
-    lists = materialize(lists_of(classes, percent, size), "lists")
+    share, margin = (0.0, 1.0) if certain else (SURE, MARGIN)
+    lists = materialize(lists_of(classes, percent, size, share), "lists")
     sketches = classes.select("node", F.col("sketch").alias("data"))
     inside = lists.select("node").distinct()
-    full = materialize(full_sets(docs, ids.join(inside, "node", "left_semi"), width), "sets")
-    full = full.dropDuplicates(["node"])
+    sets = materialize(full_sets(docs, ids.join(inside, "node", "left_semi"), width), "sets")
+    full = sets.dropDuplicates(["node"])
 
     heads = lists.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.max(F.struct("score", "node", "n")).alias("p"))
     heads = materialize(heads.where("members > 1").select("v", "members", F.col("p.node").alias("p"), F.col("p.n").alias("pn")), "heads")
     met = lists.join(heads, "v").where((F.col("node") != F.col("p")) & _fits(F.col("n"), F.col("pn"), percent))
     pairs = materialize(met.select(F.col("p").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    maybe = meet(pairs, sketches, estimate, percent, size, "estimated")
-    links = meet(maybe, full, exact, percent, size, "links")
+    maybe = meet(pairs, sketches, estimate, percent, size, margin, "estimated")
+    links = meet(maybe, full, exact, percent, size, margin, "links")
     labels = materialize(components(links), "labels")
+    discard(pairs, maybe)
 
     # lists of three or more that still hold several components, as members of the clusters around their central texts
     named = lists.join(labels, "node", "left").select("v", "node", "n", F.coalesce("component", "node").alias("comp"))
@@ -173,12 +190,14 @@ def near_links(docs: DataFrame, classes: DataFrame, ids: DataFrame, width: int,
     core = labels.select(F.col("node").alias("p"), F.col("component").alias("core"))
     members = members.join(core, "p", "left").withColumn("outer", F.col("comp") != F.coalesce("core", "p")).drop("core")
     members = materialize(members, "cluster-members")
-    found = blockwise(members, full, percent)
+    found = blockwise(members, full, percent, size, share, margin)
     out = materialize(links.unionByName(found).distinct(), "all-links")
-    return materialize(components(out), "labels")
+    final = materialize(components(out), "labels")
+    discard(lists, sets, heads, links, labels, named, members, found, out)
+    return final
 
 
-def blockwise(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def blockwise(members: DataFrame, full: DataFrame, percent: int, size: int, share: float, margin: float) -> DataFrame:
     """Links (a, b) that join components, between the outer members of each cluster and all of its members."""
 
     def blocks(which: Column) -> Column:
@@ -186,7 +205,10 @@ def blockwise(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
         return F.greatest(F.lit(1), F.ceil(count / BLOCK_TEXTS), F.ceil(total / BLOCK_SHINGLES)).cast("int")
 
     sizes = members.groupBy("p").agg(blocks(F.col("outer")).alias("na"), blocks(F.lit(True)).alias("nb"), F.max("outer").alias("some"))
-    dealt = members.join(sizes.where("some").drop("some"), "p")
+    sizes = materialize(sizes.where("some").drop("some"), "cluster-blocks")
+    amount = sizes.agg(F.sum(F.col("na").cast("long") * F.col("nb"))).first()[0] or 0
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), amount // 64)
+    dealt = members.join(sizes, "p")
 
     def part(n: str, seed: int) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
@@ -194,14 +216,19 @@ def blockwise(members: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     def others(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    left = dealt.where("outer").select("p", "node", "comp", F.lit(0).alias("side"), part("na", 1).alias("i"), others("nb").alias("j"))
-    right = dealt.select("p", "node", "comp", F.lit(1).alias("side"), part("nb", 2).alias("j"), others("na").alias("i"))
-    rows = left.unionByName(right).join(full, "node").select("p", "i", "j", "side", "node", "comp", "data")
-    rows = rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j", "side", "node")
-    return materialize(rows.mapInArrow(partial(block_batches, percent=percent), "a long, b long"), "block-links")
+    left = dealt.where("outer").select("p", "node", "comp", F.lit(0).alias("side"), "nb", part("na", 1).alias("i"), others("nb").alias("j"))
+    right = dealt.select("p", "node", "comp", F.lit(1).alias("side"), "nb", part("nb", 2).alias("j"), others("na").alias("i"))
+    # the pairs of blocks of a cluster go to tasks in turn, from a place of its own
+    turn = F.pmod(F.xxhash64("p") % tasks + F.col("i").cast("long") * F.col("nb") + F.col("j"), F.lit(tasks)).cast("int")
+    rows = left.unionByName(right).join(full, "node").select("p", "i", "j", "side", "node", "comp", "data", turn.alias("task"))
+    rows = rows.repartitionById(tasks, F.col("task")).sortWithinPartitions("p", "i", "j", "side", "node")
+    run = partial(block_batches, percent=percent, size=size, share=share, margin=margin)
+    out = materialize(rows.mapInArrow(run, "a long, b long"), "block-links")
+    discard(sizes)
+    return out
 
 
-def block_batches(batches, percent: int):
+def block_batches(batches, **how):
     """Gathers the rows of one pair of blocks at a time."""
     key, held = None, ([], [])
     for batch in batches:
@@ -209,19 +236,23 @@ def block_batches(batches, percent: int):
         flat, ends = data.values.to_numpy(), data.offsets.to_numpy()
         for k, (p, i, j, side, node, comp) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
             if (p, i, j) != key:
-                out += block_links(*held, percent)
+                out += block_links(*held, **how)
                 key, held = (p, i, j), ([], [])
             held[side].append((node, comp, flat[ends[k] : ends[k + 1]].copy()))
         yield _links(out)
-    yield _links(block_links(*held, percent))
+    yield _links(block_links(*held, **how))
 
 
 def _links(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
-    """Of the similar pairs between two blocks of (node, component, set), those that join components not yet joined here."""
+def block_links(left: list, right: list, percent: int, size: int, share: float, margin: float) -> list[tuple[int, int]]:
+    """Of the similar pairs between two blocks of (node, component, set), those that join components not yet joined here.
+
+    Sets are sorted, so their sketches are their first values. Retained values that both have are counted for a whole block at
+    once; the estimate from the sketch of the union filters what is left, and full sets decide.
+    """
     if not left or not right:
         return []
     parent: dict[int, int] = {}
@@ -232,37 +263,57 @@ def block_links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
             x = up
         return x
 
-    sizes = np.array([len(s) for _, _, s in right])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    values, flat = np.unique(np.concatenate([s for _, _, s in right]), return_inverse=True)
-    seen, out = np.zeros(len(values) + 1, bool), []
-    for node, comp, own in left:
+    def overlaps(own: np.ndarray, starts: np.ndarray, values: np.ndarray, flat: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(values, own), len(values) - 1)
-        at = at[values[at] == own]
-        seen[at] = True
-        both = np.add.reduceat(seen[flat], starts, dtype=np.int64)
-        seen[at] = False
-        for k in np.flatnonzero(100 * both >= percent * (len(own) + sizes - both)).tolist():
-            other, theirs, _ = right[k]
-            x, y = find(comp), find(theirs)
-            if node != other and x != y:
+        seen = np.zeros(len(values), bool)
+        seen[at[values[at] == own]] = True
+        return np.add.reduceat(seen[flat], starts, dtype=np.int64)
+
+    def joined(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+        return (starts, *np.unique(np.concatenate(sets), return_inverse=True))
+
+    nodes, sizes = np.array([x for x, _, _ in right]), np.array([len(s) for _, _, s in right])
+    sketches = [s[:size] for _, _, s in right]
+    held, index, out = np.minimum(sizes, size), joined(sketches), []
+    for node, comp, own in left:
+        shared = overlaps(own[:size], *index)
+        fits = (nodes != node) & (100 * np.minimum(sizes, len(own)) >= percent * np.maximum(sizes, len(own)))
+        small = (sizes < size) & (len(own) < size)
+        need = np.where(small, 1, np.floor(share * np.minimum(held, len(own))))
+        fits &= np.where(small, 100 * shared >= percent * (len(own) + sizes - shared), shared >= need)
+        some = [k for k in np.flatnonzero(fits).tolist() if find(comp) != find(right[k][1])]
+        sure = [k for k in some if small[k]]  # whole sets, already compared
+        maybe = [k for k in some if not small[k]]
+        if maybe:
+            passed = estimates(own[:size], [sketches[k] for k in maybe], percent, size, margin)
+            maybe = [k for k, ok in zip(maybe, passed.tolist(), strict=True) if ok]
+        if maybe:
+            both = overlaps(own, *joined([right[k][2] for k in maybe]))
+            sure += [k for k, n in zip(maybe, both.tolist(), strict=True) if 100 * n >= percent * (len(own) + sizes[k] - n)]
+        for k in sure:
+            x, y = find(comp), find(right[k][1])
+            if x != y:
                 parent[x] = y
-                out.append((node, other))
+                out.append((node, right[k][0]))
     return out
 
 
-def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size: int = SKETCH) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, size: int = SKETCH, certain: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest id reachable over links), kept (doc_id = component_id).
 
     Texts with 100 * intersection >= percent * union of their shingle sets are linked. A text of fewer words than
     `width` is one shingle; a null text or one without words has none, is linked with nothing and is kept. Rows without an
     id take part as links between others; their component_id is null if no row there has an id, and they are kept only then.
     Rows that repeat an id and text are all kept or none. Other columns are ignored; an empty table gives an empty result.
+
+    Sets beyond a sketch may lose a link with a chance under 1e-6. With `certain`, classes enter all their lists and the estimate
+    passes every pair, at the price of more comparisons: only similar texts that share no retained value at all are missed.
     """
-    return _verdicts(docs, width, percent, size).select("doc_id", "n_shingles", "component_id", "kept")
+    return _verdicts(docs, width, percent, size, certain).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def _verdicts(docs: DataFrame, width: int, percent: int, size: int) -> DataFrame:
+def _verdicts(docs: DataFrame, width: int, percent: int, size: int, certain: bool = False) -> DataFrame:
     """As near_dedup(), with the node and the component (of nodes) of each row's text."""
     spark = docs.sparkSession
     bound_arrow(spark)
@@ -272,12 +323,14 @@ def _verdicts(docs: DataFrame, width: int, percent: int, size: int) -> DataFrame
     classes = rows.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     ids = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("members"))
-    ids = materialize(ids, "class-sizes")
-    labels = near_links(docs, classes, ids, width, percent, size)
+    sizes = ids = materialize(ids, "class-sizes")
+    labels = near_links(docs, classes, ids, width, percent, size, certain)
+    discard(classes)
     ids = ids.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = materialize(ids, "class-ids")
     named = ids.groupBy("component").agg(F.min("least").alias("component_id"))
     to = materialize(ids.join(named, "component").select("node", "component", "component_id", "members"), "class-components")
+    discard(ids, sizes, labels)
     # classes of more than a thousandth of all rows, fewer than a thousand of them, are looked up in a broadcast
     n = rows.count()
     hot = F.broadcast(to.where(F.col("members") * 1000 > F.lit(n)).drop("members"))
@@ -294,20 +347,21 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     Rows without an id count as sharing theirs if a component holds them; those without a shingle all stay.
     """
     verdict = materialize(_verdicts(docs, width, percent, SKETCH), "near-verdict")
-    unclear = verdict.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1 or __id is null").select("__id")
+    i, n, of, as_, comp, row, h = (fresh(docs, x) for x in ("id", "node", "of", "as", "component", "row", "hash"))
+    unclear = verdict.groupBy(F.col("doc_id").alias(i)).agg(F.count(F.lit(1)).alias(n)).where((F.col(n) > 1) | F.col(i).isNull()).select(i)
     unclear = materialize(unclear, "unclear-ids")
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id")).where("__id is not null")
+    kept = verdict.where("kept and doc_id is not null").select(F.col("doc_id").alias(i))
     id_ = F.col("doc_id").cast("long")
     if not unclear.limit(1).count():
-        return docs.join(kept, id_ == F.col("__id"), "left_semi")
-    shared = unclear.where("__id is not null")
-    clear = docs.join(kept.join(shared, "__id", "left_anti"), id_ == F.col("__id"), "left_semi")
+        return docs.join(kept, id_ == F.col(i), "left_semi")
+    shared = unclear.where(F.col(i).isNotNull())
+    clear = docs.join(kept.join(shared, i, "left_anti"), id_ == F.col(i), "left_semi")
     # an id that is missing or repeated doesn't tell which text is meant: the text's own class does
     node = F.arrow_udf(lambda texts: pa.array([node_of(shingle_set(t, width)) for t in texts.to_pylist()], pa.int64()), "long")
-    own = docs.where("doc_id is null").unionByName(docs.join(shared, id_ == F.col("__id"), "left_semi"))
-    own = own.select(id_.alias("__id"), node(F.col("text").cast("string")).alias("__node"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__h"))
-    judged = verdict.where("kept").select(F.col("doc_id").alias("__of"), F.col("node").alias("__as"), F.col("component").alias("__component")).distinct()
-    own = own.join(judged, F.col("__id").eqNullSafe(F.col("__of")) & F.col("__node").eqNullSafe(F.col("__as")))
-    alone = F.col("__id").isNull() & F.col("__node").isNull()
-    one = own.where(~alone).groupBy("__id", "__component").agg(F.min_by("__row", "__h").alias("__row"))
-    return clear.unionByName(own.where(alone).select("__row.*")).unionByName(one.select("__row.*"))
+    own = docs.where("doc_id is null").unionByName(docs.join(shared, id_ == F.col(i), "left_semi"))
+    own = own.select(id_.alias(i), node(F.col("text").cast("string")).alias(n), F.struct(*[f"`{c}`" for c in docs.columns]).alias(row), F.xxhash64(*[f"`{c}`" for c in docs.columns]).alias(h))
+    judged = verdict.where("kept").select(F.col("doc_id").alias(of), F.col("node").alias(as_), F.col("component").alias(comp)).distinct()
+    own = own.join(judged, F.col(i).eqNullSafe(F.col(of)) & F.col(n).eqNullSafe(F.col(as_)))
+    alone = F.col(i).isNull() & F.col(n).isNull()
+    one = own.where(~alone).groupBy(i, comp).agg(F.min_by(row, h).alias(row))
+    return clear.unionByName(own.where(alone).select(f"{row}.*")).unionByName(one.select(f"{row}.*"))

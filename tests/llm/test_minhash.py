@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from stemma.llm import minhash
 from stemma.llm.components import components
 from stemma.llm.shingles import shingle_set
@@ -124,3 +126,25 @@ def test_keep_one_by_the_text_where_ids_do_not_tell(spark):
     out = [tuple(r) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     groups = [{(1, a[0])}, {(None, b[0]), (None, b[1])}, {(None, lone[0])}, {(None, lone[1])}, {(5, c[0]), (5, c[1])}, {(5, lone[2])}, {(2, d[0])}, {(None, "")}]
     assert len(out) == len(groups) and all(len(g & set(out)) == 1 for g in groups)
+
+
+def test_estimates_are_those_of_the_union_sketch():
+    rng = np.random.default_rng(4)
+    pool = np.sort(rng.choice(10**9, 900, replace=False))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in rng.integers(5, 800, 60).tolist()]
+    size = 64
+    for a in sets[:20]:
+        got_ = minhash.estimates(a[:size], [b[:size] for b in sets], 80, size, 0.19).tolist()
+        for b, ok in zip(sets, got_, strict=True):
+            union = sorted(set(a[:size].tolist()) | set(b[:size].tolist()))[:size]
+            both = len(set(union) & set(a[:size].tolist()) & set(b[:size].tolist()))
+            assert ok == (100 * both >= 61 * len(union))
+
+
+def test_ids_shared_and_missing_on_a_whole_table(spark, small_docs):
+    """Equal to brute force where a third of all rows share an id and a tenth have none, long texts among them."""
+    rows = [(None if k % 10 == 3 else 7 if k % 3 == 0 else r.doc_id, r.text) for k, r in enumerate(small_docs.orderBy("doc_id").collect())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = [x if x[1] else (x[0], 0, x[0]) for x in brute(rows)]
+    assert got(docs) == sorted(want, key=repr)
+    assert got(docs, certain=True) == sorted(want, key=repr)
