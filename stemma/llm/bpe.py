@@ -1,11 +1,19 @@
 """Byte-level BPE encoding and decoding as a monoid tree reduction.
 
-The elements are encoded byte strings. To encode, a string is halved until its parts are short; parts are merged
-directly, and neighbours are joined on the way up. A sequence of tokens is the encoding of its bytes exactly if each
+The elements are encoded strings. To encode, a string is halved in its middle until its parts are short; parts are encoded
+directly, and neighbours are joined on the way up by encoding a window around their border anew. The window grows until
+the tokens outside are proven to stay. There are two such trees, one inside the other.
+
+Of a text, the parts are code points. Where white space follows another character a match of the pattern always ends, and
+nothing before or behind it changes how the other side is matched (see segments.py). So a window that reaches from
+such a place to the next one leaves all tokens outside as they are.
+
+Of a match, the parts are bytes. A sequence of tokens is the encoding of its bytes exactly if each
 two neighbours alone encode to themselves: until the first merge across a border, merges on either side happen as if
-the neighbour weren't there, so that merge would happen in the two tokens alone as well. Hence a join re-encodes a
-window around the border, and doubles it until the tokens at its edges are stable next to those outside. The rest of both sides
-is then proven right. Decoding concatenates bytes up the tree.
+the neighbour weren't there, so that merge would happen in the two tokens alone as well. Hence a window doubles until
+the tokens at its edges are stable next to those outside.
+
+Decoding concatenates bytes up the tree. Leaves are looked up by words in bounded caches.
 """
 
 from __future__ import annotations
@@ -23,11 +31,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from stemma.llm.common import bound_arrow
-from stemma.llm.segments import SegmentEncoder
+from stemma.llm.segments import BORDER, SegmentEncoder
 
-#: Bytes of a leaf, and of a text that a leaf of the text's tree encodes.
-LEAF_BYTES = 16
-LEAF_CHARS = 1 << 16
+#: Bytes of a leaf of a match's tree, and code points of a leaf of a text's.
+LEAF_BYTES = 8
+LEAF_CHARS = 1 << 10
+#: Code points that a window first looks back.
+LOOK = 16
 #: Stable pairs that are remembered at most.
 PAIRS = 500_000
 _NEVER = 1 << 62
@@ -145,22 +155,28 @@ class Bpe:
             out.append(ids)
         return b"".join(out)
 
-    def cut(self, text: str, lo: int, hi: int) -> int:
-        """A place near the middle where matches always end (white space after another character), or lo."""
-        mid = (lo + hi) // 2
-        for i in range(mid, hi):
-            if text[i].isspace() and not text[i - 1].isspace():
-                return i
-        for i in range(mid, lo, -1):
-            if text[i].isspace() and not text[i - 1].isspace():
-                return i
-        return lo
+    def join_texts(self, text: str, mid: int, left: bytes, right: bytes) -> bytes:
+        """The ids of text from those of its two parts, which meet at mid."""
+        lo, width = mid, LOOK
+        while lo == mid:  # back to the last border that is not behind mid, or to the start
+            lo = max(0, mid - width)
+            found = [m.start() + 1 for m in BORDER.finditer(text, lo, mid + 1)]
+            lo, width = found[-1] if found else mid if lo else 0, 2 * width
+            if found and lo == mid:
+                return left + right
+        ahead = BORDER.search(text, mid)
+        hi = ahead.start() + 1 if ahead else len(text)
+        tail, head = self.segment(text[lo:mid]), self.segment(text[mid:hi])
+        return left[: len(left) - len(tail)] + self.segment(text[lo:hi]) + right[len(head) :]
 
     def encode(self, text: str) -> bytes:
-        """Packed ids of a text. Its halves meet where a match ends, so that their window is empty."""
-        if len(text) <= LEAF_CHARS or not (at := self.cut(text, 0, len(text))):
+        """Packed ids of a text."""
+        if len(text) <= LEAF_CHARS:
             return self.packed(text)
-        return self.encode(text[:at]) + self.encode(text[at:])
+        if BORDER.search(text) is None:  # any window would be all of it
+            return self.segment(text)
+        mid = len(text) // 2
+        return self.join_texts(text, mid, self.encode(text[:mid]), self.encode(text[mid:]))
 
     def decode(self, ids: bytes) -> bytes:
         if len(ids) <= 4 * LEAF_CHARS:

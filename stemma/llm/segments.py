@@ -10,9 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+# Unicode's white space, which is what \s means in such patterns; Python's own \s has four separators more.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The two characters around a place where a match always ends.
+BORDER = re.compile(f"[^{SPACE}][{SPACE}]")
 #: White space before a blank: there a blank may belong to a longer run of white space, so blanks alone don't say where to cut.
-_RUN = re.compile(r"\s ")
-_SEGMENT = re.compile(r"\s*\S+|\s+")
+_RUN = re.compile(f"[{SPACE}] ")
+_SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 #: Words that a cache holds at most; then it starts anew. About 100 MB.
 CACHE = 400_000

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+from array import array
 
 import public_tokenizers as P
 import pytest
@@ -64,3 +65,23 @@ def test_odd_rows(spark, odd, none):
     assert bpe.encode_documents(none, PATH, P.PATTERN).count() == 0
     empty = hashlib.sha256(b"").hexdigest()
     assert tuple(encoded.where("doc_id = 2").first())[1:4] == (0, empty, empty)
+
+
+def test_halves_of_texts_join_wherever_they_are_cut(both):
+    ours, theirs = both
+    rng = random.Random(8)
+    alphabets = ["ab ", "a  \n", "'stl e", "aé漢🎉 \u3000\x1c\x85", "12 a.,!", "the and er in to ", "x"]
+    for k in range(400):
+        text = "".join(rng.choices(rng.choice(alphabets), k=rng.choice([2, 9, 60, 300])))
+        for mid in {1, len(text) // 2, len(text) - 1, rng.randrange(1, len(text))}:
+            left, right = (array("I", theirs.encode_ordinary(x)).tobytes() for x in (text[:mid], text[mid:]))
+            assert ids(ours.join_texts(text, mid, left, right)) == theirs.encode_ordinary(text), (text, mid)
+
+
+def test_the_tree_of_texts_has_small_leaves(both, monkeypatch):
+    ours, theirs = both
+    monkeypatch.setattr(bpe, "LEAF_CHARS", 3)
+    rng = random.Random(9)
+    for k in range(60):
+        text = "".join(rng.choices(["word ", "a", "  ", "\n", "été", "'ll", "99", "!", "\x1d"], k=rng.choice([5, 80, 400])))
+        assert ids(ours.encode(text)) == theirs.encode_ordinary(text)
