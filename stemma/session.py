@@ -44,12 +44,16 @@ def cut(df: DataFrame, tag: str = "cut", path: str | None = None) -> DataFrame:
     return out
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes what cut() wrote, once nothing reads it any more."""
     for df in frames:
         if path := getattr(df, "stemma_path", None):
-            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            remove(df.sparkSession, path)
 
 
 def some(df: DataFrame) -> bool:
