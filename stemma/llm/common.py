@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemma.session import cut, discard, shared_dir, ship
+from stemma.session import cut, discard, remove, shared_dir, ship
 
-__all__ = ["bound_arrow", "discard", "fresh", "materialize", "shared_path", "table"]
+__all__ = ["bound_arrow", "discard", "fresh", "materialize", "remove", "shared_path", "table"]
 
 #: Rows and bytes of one Arrow batch between the JVM and Python, so that long texts don't add up to a large batch.
 ARROW_ROWS = 512

@@ -11,7 +11,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm.common import discard, materialize, shared_path
+from stemma.llm.common import discard, fresh, materialize, remove, shared_path
 
 #: Deleted before hashing: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,18 +32,41 @@ def digests(docs: DataFrame) -> DataFrame:
 class DigestIndex:
     """Digests seen so far, as a Parquet table at a path, in hash buckets sorted by digest.
 
-    The bucket count belongs to the path and must stay the same in later sessions. Appending is idempotent per batch
-    name: a repeated batch finds its own digests there and adds none.
+    The bucket count belongs to the path: it is written beside the data, and another one is an error. Appending is
+    idempotent per batch name: a repeated batch finds its own digests there and adds none.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.path, self.buckets = spark, path, buckets
+        self._settle()
         self.name = "stemma_digests_" + hashlib.md5(f"{path}|{buckets}".encode()).hexdigest()
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _settle(self) -> None:
+        """Records the bucket count in a file beside the data, or compares it with the one there."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(self.path.rstrip("/") + "/_buckets")
+        fs = at.getFileSystem(conf)
+        if fs.exists(at):
+            there = fs.open(at)
+            try:
+                held = int(there.readUTF())
+            finally:
+                there.close()
+            if held != self.buckets:
+                raise ValueError(f"the index at {self.path} has {held} buckets, not {self.buckets}")
+        else:
+            out = fs.create(at)
+            out.writeUTF(str(self.buckets))
+            out.close()
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)
+
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -83,28 +106,34 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str =
     # fewer than HOT_SHARE rows by the pigeonhole principle
     hot = F.broadcast(decided.where(F.col("group_size") * HOT_SHARE > F.lit(n)))
     cold = rows.join(hot.select("text_sha256"), "text_sha256", "left_anti").join(decided.hint("merge"), "text_sha256")
-    return rows.join(hot, "text_sha256").unionByName(cold).select(
+    out = rows.join(hot, "text_sha256").unionByName(cold).select(
         "doc_id",
         "keep_id",
         "group_size",
         (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
+    out.stemma_reads = (rows, mine)  # these can go once out has been written
+    return out
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup() keeps, all columns; repeated rows of one id and text give one row."""
-    verdict = materialize(exact_dedup(docs), "exact-verdict")
-    kept = verdict.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    repeats = kept.groupBy("__id", "__sha").count().where("count > 1").limit(1).count()
+    spark = docs.sparkSession
+    index = DigestIndex(spark, shared_path(spark, "digests"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    judged = exact_dedup(docs, index)
+    verdict = materialize(judged, "exact-verdict")
+    discard(*judged.stemma_reads)
+    index.drop()
+    i, sha, n, row = (fresh(docs, x) for x in ("id", "sha", "n", "row"))
+    kept = verdict.where("kept").select(F.col("doc_id").alias(i), F.col("text_sha256").alias(sha))
+    repeats = kept.groupBy(i, sha).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) > 1).limit(1).count()
     text = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACES, ""), 256)
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("__id")) & (text == F.col("__sha")), "left_semi")
+    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col(i)) & (text == F.col(sha)), "left_semi")
     # equal ids and equal texts; rows may still differ in the white space of their texts, and the longest stays
     if repeats:
-        order = [F.col("doc_id"), text.alias("__t"), F.length(F.coalesce("text", F.lit(""))).alias("__n")]
-        slim = [c for c in out.columns]
-        packed = out.select(*order, F.struct(*slim).alias("__row"))
-        out = packed.groupBy("doc_id", "__t").agg(F.max_by("__row", "__n").alias("__row")).select("__row.*")
+        packed = out.select("doc_id", text.alias(sha), F.length(F.coalesce("text", F.lit(""))).alias(n), F.struct(*[f"`{c}`" for c in docs.columns]).alias(row))
+        out = packed.groupBy("doc_id", sha).agg(F.max_by(row, n).alias(row)).select(f"{row}.*")
     return out
 
 

@@ -3,6 +3,10 @@
 Open bins are kept by free space: a bit set has a bit for each free space that some open bin has, and a stack of bins
 for each bit. The smallest free space that is large enough is the lowest bit left after a shift, so each placement
 takes constant time. The number of open bins is fixed; when a new one is needed beyond it, the fullest closes first.
+
+Placement is online: a piece is placed when it comes, and never moved. The order in which pieces come is chosen, though: each
+task sorts its share into runs of what about half of its open bins hold, long pieces first within a run. A share of one run
+(a small table) is thus packed as by best-fit decreasing; a large one is a sequence of such runs over the bins that stay open.
 """
 
 from __future__ import annotations

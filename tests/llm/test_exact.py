@@ -1,5 +1,7 @@
 import hashlib
 
+import pytest
+
 from stemma.llm import exact
 
 
@@ -46,3 +48,16 @@ def test_keep_first(spark, odd):
     want = {(d, s) for d, _, _, ok, s in brute([(r.doc_id, r.text) for r in odd.collect()]) if ok}
     got = [(d, s) for d, _, _, _, s in brute([(r.doc_id, r.text) for r in kept.collect()])]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_another_bucket_count_is_refused(spark, tmp_path):
+    path = str(tmp_path / "index")
+    exact.DigestIndex(spark, path, 4)
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact.DigestIndex(spark, path, 8)
+
+
+def test_keep_first_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y"), (1, "a  b", "x", "z"), (2, "ab", None, None), (3, "c", "", "")], "doc_id long, text string, __id string, `__sha` string")
+    out = exact.keep_first(docs)
+    assert out.columns == docs.columns and sorted(r.text for r in out.collect()) == ["a  b", "c"]
