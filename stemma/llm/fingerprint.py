@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import bound_arrow
@@ -133,13 +134,13 @@ def edited(text: str, after: str) -> str:
 
 
 def fingerprint_batches(batches):
-    """Rows come in the order part, then descending ids; a ghost row ends each part, the first of the next one."""
+    """Rows come in the order of parts and keys; a ghost row ends each part, the first of the next one."""
     names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     held, grow = None, zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out = []
-        for part, ghost, doc_id, _, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for part, ghost, _, _, _, doc_id, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = grow(data).decode()
             now = (part, doc_id, text, filters(text))
             if held is not None and held[0] == part:
@@ -153,37 +154,68 @@ def fingerprint_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=list(names))
 
 
-def in_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """part, ghost, doc_id, h, data (the compressed text): ranges of descending ids, each followed by the first row of the next (after the last: the first).
+#: Bytes of text that a part is meant to have, and the most parts: beyond, parts grow. A part streams through its task.
+PART_BYTES, PARTS = 16 << 20, 20_000
+#: Keys that the driver samples for each part.
+SAMPLED = 30
 
-    Bounds come from approximate quantiles of the ids. One row for each part is what the driver holds of the data.
-    Texts are shuffled once.
+
+def _key() -> list[Column]:
+    """The order of rows: ids descending, missing ones last, equal ones by the hash of their texts."""
+    return [F.col("doc_id").isNull().alias("none"), F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).cast("long").alias("down"), F.xxhash64("text").alias("h")]
+
+
+def bounds_of(rows: DataFrame, parts: int | None) -> tuple[tuple | None, list[tuple]]:
+    """The first key, and the keys with which the second part and all further ones begin, from a sample by the keys' hash.
+
+    Without `parts` their number follows from the bytes. The driver holds about SAMPLED keys for each part.
+    """
+    spark = rows.sparkSession
+    size = F.octet_length("text") + 1
+    n, total, first = rows.agg(F.count(F.lit(1)), F.sum(size), F.min(F.struct(*_key()))).first()
+    if not n:
+        return None, []
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTS, -(-total // PART_BYTES)))
+    every = max(1, n // (SAMPLED * parts))
+    some = rows.select(*_key(), size.alias("size")).where(F.pmod(F.xxhash64("none", "down", "h", F.lit(7)), F.lit(every)) == 0)
+    some = sorted(tuple(r) for r in some.groupBy("none", "down", "h").agg(F.sum("size").alias("size")).collect())
+    out, seen, share = [], 0, sum(r[-1] for r in some) / parts
+    for r in some:
+        if seen >= share * (len(out) + 1) and r[:-1] > tuple(first):
+            out.append(r[:-1])
+        seen += r[-1]
+    return tuple(first), out
+
+
+def in_parts(docs: DataFrame, parts: int | None) -> DataFrame:
+    """part, ghost, none, down, h, doc_id, data (the compressed text): ranges of the order, each followed by the first row of the
+    next (after the last: the first). A part begins with a key of the data, so that row is the one with this key.
+
+    Texts are shuffled once. Many rows without an id, or with one id, are split by their texts; only rows that repeat both stay in one part.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id").where("doc_id is not null")
-    cuts = sorted({int(x) for x in ids.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-    bucket = F.lit(len(cuts)) - F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(bucket).cast("int")
-    rows = rows.select(bucket.alias("part"), "doc_id", "text")
-    first = rows.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()
-    # of rows with the top id of a part, the first in the order above is its first row
-    heads = spark.createDataFrame([(r.part, r.top, first[k - 1].part) for k, r in enumerate(first)], "p int, top long, before int")
-    at_top = rows.join(F.broadcast(heads), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    ghosts = at_top.groupBy("before").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "doc_id")).alias("x"))
-    ghosts = ghosts.select(F.col("before").alias("part"), F.lit(True).alias("ghost"), "x.doc_id", "x.text")
-    every = rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text").unionByName(ghosts) if first else rows.select("part", F.lit(False).alias("ghost"), "doc_id", "text")
+    first, bounds = bounds_of(rows, parts)
+    ends = [(*key, k) for k, key in enumerate([*bounds, first])] if first else []
+    ends = F.broadcast(docs.sparkSession.createDataFrame(ends, "none boolean, down long, h long, part int"))
+    keyed = rows.select("doc_id", "text", *_key())
+    ghosts = keyed.join(ends, ["none", "down", "h"]).groupBy("part").agg(F.min(F.struct("none", "down", "h", "doc_id", "text")).alias("x")).select("part", "x.*")
+    every = keyed.withColumn("part", F.lit(None).cast("int")).unionByName(ghosts)
     # texts go through the exchange compressed, each by itself
-    packed = every.withColumn("h", F.xxhash64("text")).mapInArrow(compress_batches, "part int, ghost boolean, doc_id long, h long, data binary")
-    return packed.repartitionById(len(cuts) + 2, F.col("part")).sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "h")
+    packed = every.select("part", "none", "down", "h", "doc_id", "text")
+    packed = packed.mapInArrow(partial(compress_batches, bounds=bounds), "part int, ghost boolean, none boolean, down long, h long, doc_id long, data binary")
+    return packed.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "ghost", "none", "down", "h")
 
 
-def compress_batches(batches):
+def compress_batches(batches, bounds: list[tuple]):
+    """Rows with a part are ghosts, which end it; others go to the part that holds their key."""
     shrink = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        part, ghost, doc_id, text, h = batch.columns
+        part, none, down, h, doc_id, text = batch.columns
+        ghost = part.is_valid()
+        keys = zip(part.to_pylist(), none.to_pylist(), down.to_pylist(), h.to_pylist(), strict=True)
+        part = pa.array([bisect_right(bounds, tuple(key)) if p is None else p for p, *key in keys], pa.int32())
         data = pa.array([shrink(t.encode()) for t in text.to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([part, ghost, doc_id, h, data], names=["part", "ghost", "doc_id", "h", "data"])
+        yield pa.RecordBatch.from_arrays([part, ghost, none, down, h, doc_id, data], names=["part", "ghost", "none", "down", "h", "doc_id", "data"])
 
 
 def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
@@ -196,6 +228,5 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     spark = docs.sparkSession
     bound_arrow(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     return in_parts(docs, parts).mapInArrow(partial(fingerprint_batches), schema)

@@ -62,3 +62,17 @@ def test_odd_rows(spark, odd, none):
     assert lone.near_next == 1 and lone.edited_sha256 == hashlib.sha256(b"onetwothree foonetwot").hexdigest()
     empty = fp.filters("")
     assert fp.likeness(empty, empty) == 1 and fp.likeness(empty, fp.filters("some text")) == 0
+
+
+def test_missing_and_shared_ids_are_spread_and_follow_the_order(spark):
+    rows = [(None if k % 3 == 0 else 5 if k % 3 == 1 else k, f"text {k * 7919 % 1000} " + "some words " * (k % 9)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    order = docs.select("doc_id", "text", *fp._key()).orderBy("none", "down", "h").collect()
+    want = []
+    for r, after in zip(order, order[1:] + order[:1], strict=True):
+        want.append((str(r.doc_id), len(r.text), hashlib.sha256(fp.edited(r.text, after.text).encode()).hexdigest()))
+    for parts in (1, 12):
+        got = [(str(r.doc_id), r.n_chars, r.edited_sha256) for r in fp.fingerprints(docs, parts).collect()]
+        assert sorted(got) == sorted(want)
+    sizes = [r["count"] for r in fp.in_parts(docs, 12).where("not ghost").groupBy("part").count().collect()]
+    assert len(sizes) >= 10 and max(sizes) < 200
