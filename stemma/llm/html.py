@@ -28,7 +28,8 @@ _TOKEN = re.compile(
       | (?P<text>[^<]+|<)""",
     re.S | re.I | re.X,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: One attribute after the other, so that nothing inside a value or a longer name is taken for a name.
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 
 # HTML's own element names by what they do here, and names that sites commonly give containers.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -40,8 +41,9 @@ CHROME_NAMES = frozenset(
     "nav navbar navigation menu sidebar side aside ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored "
     "cookie cookies consent gdpr notice alert popup modal overlay comment comments disqus replies reply respond footer header masthead "
     "topbar breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe subscription signup login search "
-    "pagination pager widget toolbar copyright legal disclaimer form tags toc skip hidden complementary contentinfo search".split()
+    "pagination pager widget toolbar copyright legal disclaimer form tags toc skip complementary contentinfo search".split()
 )
+HIDDEN_NAMES = frozenset("hidden visually-hidden sr-only screen-reader-text screen-reader-only d-none is-hidden u-hidden".split())
 OTHERS_NAMES = frozenset("comment comments disqus reply replies respond".split())
 MAIN_NAMES = frozenset("article content main post entry story body text articlebody".split())
 
@@ -59,29 +61,53 @@ class Block:
         self.density = min(1.0, self.linked / self.words) if self.words else 0.0
 
 
+def attributes(attrs: str):
+    """name, value of each attribute, names in lower case."""
+    for m in _ATTR.finditer(attrs):
+        yield m[1].lower(), m[2] or m[3] or m[4] or ""
+
+
+def hides(attrs: str) -> bool:
+    """Whether an element is not shown."""
+    for name, value in attributes(attrs):
+        if name in ("hidden", "aria-hidden"):
+            if value.lower() not in ("false", "no", "until-found") and (name == "hidden" or value.lower() == "true"):
+                return True
+        elif name == "style":
+            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                return True
+        elif name == "class" and not HIDDEN_NAMES.isdisjoint(value.lower().split()):
+            return True
+    return False
+
+
 def hint_of(tag: str, attrs: str, inside: int) -> int | None:
     """1: an article begins; -1: boilerplate begins; -2: boilerplate in which no article begins; None: the element says nothing.
 
     A page's header, footer and the like are boilerplate. In an article, its header isn't; its footer and the rest are.
     """
+    if hides(attrs):
+        return -1
     names: set[str] = set()
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("hidden", "aria-hidden") and value not in ("false", "no"):
-            return -1
-        if name == "style":
-            if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return -1
-            continue
-        for token in (m[2] or m[3] or m[4] or "").split():
-            if not re.match(r"(?:has|with|no|is)[-_]", token):
-                names.update(x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token))
+    both: set[int] = set()
+    for name, value in attributes(attrs):
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                # what a class says of its surroundings or a state, and how boxes overflow, names no part of a page
+                if not re.match(r"(?:has|with|no|is|overflow|backface)[-_]", token):
+                    own = {x.lower() for x in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", token)}
+                    names |= own
+                    both |= {-1} if own & CHROME_NAMES else {1} if own & MAIN_NAMES else set()
     if names & OTHERS_NAMES:
         return -2
+    if tag == "form":  # some pages are a form as a whole: it says little of what is inside an article's elements
+        return -1
     if tag in CHROME_TAGS:
         return None if tag == "header" and inside == 1 else -2
     if tag in MAIN_TAGS:
         return 1 if inside > -2 else None
+    if len(both) == 2 and tag not in ("body", "html") and inside >= 0:  # one name says this, one that: words and links decide
+        return 0
     if names & CHROME_NAMES and tag != "body":
         return None if inside == 1 and not names & (CHROME_NAMES - {"header", "text", "tags", "side"}) else -1
     if names & MAIN_NAMES and tag not in ("body", "html"):
@@ -95,6 +121,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int]] = []  # elements that aren't inline, each with the hint that holds inside
     depth: Counter[str] = Counter()
     linked = head = 0
+    unseen: list[str] = []  # inline elements inside one that isn't shown, that one first
 
     def begin() -> None:
         nonlocal now
@@ -105,7 +132,7 @@ def blocks(page: str) -> list[Block]:
 
     for m in _TOKEN.finditer(page):
         if (text := m["text"]) is not None:
-            if not depth["head"]:
+            if not depth["head"] and not unseen:
                 now.parts.append(text)
                 if linked:
                     now.linked += len(text.split())
@@ -113,6 +140,18 @@ def blocks(page: str) -> list[Block]:
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if unseen and (tag not in INLINE and tag not in VOID):
+            unseen.clear()  # never closed: it ends at the next block
+        if unseen and tag in INLINE:
+            if not m["end"]:
+                unseen.append(tag)
+            elif tag in unseen:
+                while unseen.pop() != tag:
+                    pass
+            continue
+        if tag in INLINE and not m["end"] and hides(m["attrs"]):
+            unseen.append(tag)
+            continue
         if m["end"]:
             if tag == "a":
                 linked = 0
@@ -129,8 +168,7 @@ def blocks(page: str) -> list[Block]:
         elif tag == "a":
             linked = 1
         elif tag in INLINE:
-            if tag == "span" and hint_of(tag, m["attrs"], 0) == -1 and "hidden" in m["attrs"]:
-                continue
+            continue
         elif tag == "br":
             now.parts.append(" ")
         elif tag in VOID:
@@ -176,6 +214,8 @@ LABELLED = [
     [(2, 1.0, 0, 0, 0), (60, 0.0, 0, 0, 1), (45, 0.1, 0, 0, 1), (9, 1.0, 0, 0, 0)],
     [(3, 0.9, 0, 0, 0), (12, 0.8, 0, 0, 0), (7, 0.0, 0, 1, 1), (52, 0.0, 0, 0, 1), (38, 0.2, 0, 0, 1), (4, 0.6, 0, 0, 0), (10, 0.7, 0, 0, 0)],
     [(16, 0.7, 0, 0, 0), (64, 0.0, 0, 0, 1), (40, 0.5, 0, 0, 0), (5, 1.0, 0, 0, 0)],
+    [(50, 0.0, 0, 0, 1)],
+    [(46, 0.0, 0, 0, 1)],
     [(30, 0.8, 0, 0, 0), (20, 0.6, 0, 0, 0), (40, 0.0, 0, 0, 1), (14, 0.0, 0, 0, 1), (35, 0.1, 0, 0, 1), (4, 0.0, 0, 0, 0), (3, 0.7, 0, 0, 0)],
 ]
 

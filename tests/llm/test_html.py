@@ -44,3 +44,48 @@ def test_odd_rows(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
     assert sorted(map(tuple, html.extract(pages).collect()), key=repr) == sorted([(1, "u", "", 0), (None, None, "x", 1), (2, "u", "", 0), (2, "u", "", 0)], key=repr)
     assert html.extract(pages.where("false")).count() == 0
+
+
+def prose(n, seed=0):
+    return " ".join(f"word{(k * 7 + seed) % 97}" for k in range(n))
+
+
+def test_attributes_that_only_look_like_hints():
+    text = prose(50)
+    for page in (
+        f'<body><div class="overflow-hidden"><p>{text}</p></div></body>',
+        f'<article title="The hidden valley"><p>{text}</p></article>',
+        f'<article data-hidden="x" data-class="sidebar" xclass="ad"><p>{text}</p></article>',
+        f"<article data-x='class=\"nav\" hidden'><p>{text}</p></article>",
+        f'<body><form id="aspnetForm" action="/x"><article><p>{text}</p></article></form></body>',
+        f'<body><form><main><p>{text}</p></main></form></body>',
+        f'<body><div class="post has-sidebar with-ads"><p>{text}</p></div></body>',
+        f'<body><div class="sidebar-layout article-body"><p>{text}</p></div></body>',
+        f'<article aria-hidden="false"><p>{text}</p></article>',
+    ):
+        assert html.main_text(page) == text, page
+
+
+def test_what_is_not_shown():
+    for attrs in ("hidden", 'hidden=""', 'aria-hidden="true"', 'style="display: none"', 'class="x sr-only"', "HIDDEN"):
+        for tag in ("b", "span", "div", "em"):
+            got = html.main_text(f"<article><p>one <{tag} {attrs}>two <i>three</i></{tag}> four</p><p>five</p></article>")
+            assert got == "one four five", (tag, attrs, got)
+    assert html.main_text("<article><p>one <b hidden>two</p><p>three</p></article>") == "one three"
+
+
+def test_several_templates():
+    body = [prose(60, 1), prose(45, 2), prose(70, 3)]
+    want = " ".join(body)
+    paragraphs = "".join(f"<p>{x}</p>" for x in body)
+    menu = "".join(f'<li><a href="/{k}">Item number {k}</a></li>' for k in range(8))
+    pages = (
+        f"<body><nav><ul>{menu}</ul></nav><main>{paragraphs}</main><footer>All rights reserved</footer></body>",
+        f'<body><div id="menu"><ul>{menu}</ul></div><div class="content">{paragraphs}</div><div class="related"><ul>{menu}</ul></div></body>',
+        f'<body><ul>{menu}</ul><div>{paragraphs}</div><ul>{menu}</ul></body>',
+        f'<body><table><tr><td><a href="a">One</a> <a href="b">Two more</a></td><td>{paragraphs}</td></tr></table></body>',
+        f'<body class="home"><header><a href="/">Site</a></header><div role="main">{paragraphs}<div class="comments"><p>{prose(40)}</p></div></div><div class="cookie-banner">{prose(30)}</div></body>',
+        f'<body><div class="wrap"><div class="ad">{prose(25)}</div><section class="entry">{paragraphs}</section><form>{prose(12)} <input></form></div></body>',
+    )
+    for page in pages:
+        assert html.main_text(page) == want, page
