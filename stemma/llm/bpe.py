@@ -34,7 +34,7 @@ from stemma.llm.common import bound_arrow
 from stemma.llm.segments import BORDER, SegmentEncoder
 
 #: Bytes of a leaf of a match's tree, and code points of a leaf of a text's.
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 LEAF_CHARS = 1 << 10
 #: Code points that a window first looks back.
 LOOK = 16
@@ -66,7 +66,7 @@ class Bpe:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.packed = SegmentEncoder(self.segment, lambda words: [self.segment(f" {w}") for w in words])
+        self.packed = SegmentEncoder(self.segment, lambda words: [self.piece(f" {w}") if w.isascii() and w.isalpha() else self.segment(f" {w}") for w in words])
         self.pieces: dict[str, bytes] = {}
 
     # the monoid
