@@ -15,6 +15,12 @@ def text_lines(text: Column) -> Column:
     return F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)
 
 
+def kept_lines(text: Column) -> Column:
+    """Text lines with their ends."""
+    got = F.split(text, r"(?<=[\n\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])|(?<=\r)(?!\n)", -1)
+    return F.when(F.element_at(got, -1) == "", F.slice(got, F.lit(1), F.size(got) - 1)).otherwise(got)
+
+
 def byte_lines(text: Column) -> Column:
     """Lines with their ends, which are line feeds, carriage returns or both."""
     got = F.split(text, r"(?<=\n)|(?<=\r)(?!\n)", -1)
@@ -27,8 +33,8 @@ def _range(lines: Column, start: Column, end: Column) -> Column:
 
 
 def excerpt(text: Column, start: Column, end: Column) -> Column:
-    """Text lines start to end, from 1, both included; null without numbers."""
-    return F.array_join(_range(text_lines(text), start, end), "\n")
+    """Text lines start to end, from 1, both included, with their ends; null without numbers."""
+    return F.array_join(_range(kept_lines(text), start, end), "")
 
 
 def line_hash(text: Column, start: Column, end: Column) -> Column:

@@ -2,37 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.session import cut, ship, some
 
-#: Turns after which a loop fails loudly: the longest path that is followed.
-TURNS = 200
-
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ancestors of the seeds (id and keys), themselves included: keys, id, depth (of the shortest path).
 
-    Only the frontier is joined with the edges. keys carry the origin, so many closures run as one.
+    Only the frontier is joined with the edges. keys carry the origin, so many closures run as one. keep drops rows (keys, id) of a
+    new frontier that need not be followed.
     """
     keys = list(keys)
     step = edges.select(F.col("dst").alias("id"), F.col("src").alias("__up"))
     frontier = cut(seeds.select(*keys, "id").distinct(), "frontier")
-    seen = frontier.withColumn("depth", F.lit(0))
-    for depth in range(1, TURNS):
-        up = frontier.join(step, "id").select(*keys, F.col("__up").alias("id")).distinct()
-        frontier = cut(up.join(seen, [*keys, "id"], "left_anti"), "frontier")
+    seen, depth = frontier.withColumn("depth", F.lit(0)), 0
+    for turn in count():  # each turn adds nodes or ends
+        # several steps are one job; more of them, the longer the paths turn out to be
+        hops, at, found = min(8, 2 + turn // 4), frontier, []
+        for hop in range(1, hops + 1):
+            at = at.join(step, "id").select(*keys, F.col("__up").alias("id")).distinct()
+            at = keep(at) if keep else at
+            found.append(at.withColumn("depth", F.lit(depth + hop)))
+        depth += hops
+        new = reduce(DataFrame.unionByName, found).groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
+        new = cut(new.join(seen, [*keys, "id"], "left_anti").select(*keys, "id", "depth"), "frontier")
+        seen = seen.unionByName(new)
+        frontier = new.where(F.col("depth") == depth).drop("depth")
         if not some(frontier):
             return seen
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(depth)))
-        if depth % 8 == 0:
+        if turn % 8 == 7:
             seen = cut(seen, "seen")
-    raise RuntimeError(f"no fixpoint after {TURNS} turns")
 
 
 def descendants(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -44,15 +53,18 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     residue (id): nodes in cycles and below them. Nodes that only edges name count as well."""
     left = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id")))
     left, edges, done = cut(left.distinct(), "left"), cut(edges.select("src", "dst").distinct(), "edges"), None
-    for level in range(TURNS):
+    for level in count():  # each turn takes nodes off or ends
         ready = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"), "ready")
         if not some(ready):
             return (done if done is not None else ready.withColumn("level", F.lit(0))), left
         now = ready.withColumn("level", F.lit(level))
         done = now if done is None else done.unionByName(now)
-        left = cut(left.join(ready, "id", "left_anti"), "left")
-        edges = cut(edges.join(ready.withColumnRenamed("id", "src"), "src", "left_anti"), "edges")
-    raise RuntimeError(f"no fixpoint after {TURNS} turns")
+        left = left.join(ready, "id", "left_anti")
+        edges = edges.join(ready.withColumnRenamed("id", "src"), "src", "left_anti")
+        if level % 3 == 2:
+            left, edges = cut(left, "left"), cut(edges, "edges")
+        if level % 16 == 15:
+            done = cut(done, "done")
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -74,13 +86,27 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def redundant_edges(edges: DataFrame) -> DataFrame:
-    """Edges u -> v for which another path from u to v exists. For views only: nothing is deleted."""
-    edges = edges.select("src", "dst").distinct()
-    via = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("dst").alias("target"))
-    # other premises of each edge's conclusion, and all that is above them
-    others = via.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("v")), "v").where("id <> u").select("u", "target", "id")
-    above = closure(edges, others.select("u", "target", "id"), ("u", "target"))
-    return above.where("id = u").select(F.col("u").alias("src"), F.col("target").alias("dst")).distinct()
+    """Edges u -> v for which another path from u to v exists. For views only: nothing is deleted.
+
+    A path to u leads through nodes of higher levels than u's alone, so the search from the other premises of v stops at u's level; in
+    cycles, where nodes have no level, nothing is left out.
+    """
+    edges = cut(edges.select("src", "dst").distinct(), "distinct-edges")
+    # an edge from a node without premises of its own whose conclusion has one premise alone can't be passed by
+    several = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dst")
+    via = edges.join(several, "dst", "left_semi").select(F.col("src").alias("u"), F.col("dst").alias("target"))
+    levels = cut(peel(edges.select(F.col("src").alias("id")).distinct(), edges)[0], "levels")
+    low = levels.select(F.col("id").alias("u"), F.col("level").alias("floor"))
+    own = levels.select("id", "level")
+
+    def above(rows: DataFrame) -> DataFrame:
+        near = rows.join(low, "u", "left").join(own, "id", "left")
+        return near.where("id = u or floor is null or level is null or level > floor").select(*rows.columns)
+
+    # the other premises of each edge's conclusion, and all that is above them
+    others = above(via.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("target")), "target").where("id <> u").select("u", "target", "id"))
+    found = closure(edges, others, ("u", "target"), above)
+    return found.where("id = u").select(F.col("u").alias("src"), F.col("target").alias("dst")).distinct()
 
 
 def closure_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:

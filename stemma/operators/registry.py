@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.session import cut
+
 
 def latest(revisions: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last revision of each key. The order's columns are compared by a partial aggregate, not by sorting each key's rows."""
@@ -39,3 +41,12 @@ def same_major(a: Column, b: Column) -> Column:
 def review_queue(items: DataFrame, *criteria: str) -> DataFrame:
     """Highest criteria first, in their order; ties by id."""
     return items.orderBy(*[F.col(c).desc() for c in criteria], "id")
+
+
+def ranked(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the rank of a key that all differ in, from 1. Ranges of keys are numbered side by side; only their sizes meet in one task."""
+    parts = cut(rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return parts.withColumn(name, own).join(F.broadcast(before), "__part").withColumn(name, F.col(name) + F.col("__before")).drop("__part", "__before")

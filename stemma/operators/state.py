@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.graph import closure, reachable_blocked
+from stemma.session import cut
 
 BASES = ("BLOCKED", "DERIVED_FROM_ACCEPTED_CHAIN", "IMPORTED_CONTRACT", "DIRECT_SOURCE", "UNVERIFIED_INFERENCE")
+# States of a node's binding; the last three of the first four keep a query from being verified.
+BINDINGS = ("EXISTING_PROJECT_DECLARATIONS", "PLANNED_DELTA", "GAP", "EXTERNAL_OR_UNMAPPED", "NOT_APPLICABLE")
 EXTERNAL = ("NOT_APPLICABLE", "SOURCE_FOUND_AND_VERIFIED", "INDEPENDENT_LEAN_PROOF_COMPLETED", "BLOCKING_UNRESOLVED_CLAIM")
 
 
@@ -32,7 +35,7 @@ def _ladder(producers: Column, blocked: Column) -> Column:
         F.when(F.col("accepted").isNotNull() & ~F.col("accepted"), "BLOCKED")
         .when(blocked, "BLOCKED")
         .when(producers, "DERIVED_FROM_ACCEPTED_CHAIN")
-        .when(F.col("is_foundation"), F.when(F.col("source_fidelity") != "UNCHECKED", "IMPORTED_CONTRACT").otherwise("BLOCKED"))
+        .when(F.col("is_foundation"), F.when(F.coalesce("source_fidelity", F.lit("")) != "UNCHECKED", "IMPORTED_CONTRACT").otherwise("BLOCKED"))
         .when(F.col("origin").startswith("SOURCE_"), "DIRECT_SOURCE")
         .when(F.col("origin") == "COMPUTATIONALLY_REPRODUCED", "DERIVED_FROM_ACCEPTED_CHAIN")
         .otherwise("UNVERIFIED_INFERENCE")
@@ -60,25 +63,29 @@ def step_edges(steps: DataFrame) -> DataFrame:
 def query_state(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row for each target over its closure.
 
-    nodes: id, external (resolution status), blocker_ids, review (its pending reviews); edges: src, dst, disposition.
-    dag_complete is FALSE while something is unresolved, NOT EVALUABLE while an edge is a candidate, else TRUE; verification_closed
-    is never TRUE.
+    nodes: id, external (resolution status), binding, blocker_ids; edges: src, dst, disposition. dag_complete is FALSE while a source is
+    unresolved, NOT EVALUABLE while the review of an edge is pending (it is neither accepted nor conditional; a missing disposition is pending),
+    else TRUE. verification_closed is FALSE with a blocker, or a binding that is a gap, planned or external; it is never TRUE.
     """
-    inside = closure(edges, targets.select(F.col("id").alias("target"), "id"), ("target",))
-    counts = inside.join(nodes, "id").groupBy("target").agg(
+    inside = cut(closure(edges, targets.select(F.col("id").alias("target"), "id"), ("target",)), "query-closure")
+    ids = F.coalesce("blocker_ids", F.array().cast(nodes.schema["blocker_ids"].dataType))
+    counts = inside.join(nodes.withColumn("blocker_ids", ids), "id").groupBy("target").agg(
         F.count(F.lit(1)).alias("closure_nodes"),
         *[F.count_if(F.col("external") == s).alias("n_" + s.lower()) for s in EXTERNAL],
+        *[F.count_if(F.col("binding") == s).alias("b_" + s.lower()) for s in BINDINGS],
         F.sum(F.size("blocker_ids")).alias("blocker_refs"),
         F.size(F.array_distinct(F.flatten(F.collect_set("blocker_ids")))).cast("long").alias("blockers"),
-        F.sum("review").alias("pending_reviews"),
     )
     a, b = inside.select("target", F.col("id").alias("src")), inside.select("target", F.col("id").alias("dst"))
-    held = edges.join(a, "src").join(b, ["target", "dst"]).groupBy("target").agg(F.count(F.lit(1)).alias("closure_edges"), F.count_if(F.col("disposition") == "CANDIDATE").alias("candidate_edges"))
-    out = counts.join(held, "target", "left").fillna(0, ["closure_edges", "candidate_edges"])
-    open_ = F.col("n_blocking_unresolved_claim") > 0
-    complete = F.when(open_, "FALSE").when(F.col("candidate_edges") > 0, "NOT EVALUABLE").otherwise("TRUE")
-    closed = F.when(open_ | (F.col("blockers") > 0), "FALSE").otherwise("NOT ESTABLISHED")
-    return out.withColumn("dag_complete", complete).withColumn("verification_closed", closed)
+    held = edges.join(a, "src").join(b, ["target", "dst"]).groupBy("target").agg(
+        F.count(F.lit(1)).alias("closure_edges"),
+        F.count_if(F.col("disposition") == "CANDIDATE").alias("candidate_edges"),
+        F.count_if(~F.coalesce(F.col("disposition").isin("ACCEPTED", "CONDITIONAL"), F.lit(False))).alias("pending_reviews"),
+    )
+    out = counts.join(held, "target", "left").fillna(0, ["closure_edges", "candidate_edges", "pending_reviews"])
+    complete = F.when(F.col("n_blocking_unresolved_claim") > 0, "FALSE").when(F.col("pending_reviews") > 0, "NOT EVALUABLE").otherwise("TRUE")
+    blocked = (F.col("blockers") > 0) | (F.col("b_gap") > 0) | (F.col("b_planned_delta") > 0) | (F.col("b_external_or_unmapped") > 0)
+    return out.withColumn("dag_complete", complete).withColumn("verification_closed", F.when(blocked, "FALSE").otherwise("NOT ESTABLISHED"))
 
 
 def frontier(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

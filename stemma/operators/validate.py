@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stemma.operators.graph import peel
-from stemma.schema import CLOSED, DISPOSITIONS, EDGE_TYPES, PASSING, ROUTES
+from stemma.schema import APPROXIMATION, CLOSED, DISPOSITIONS, EDGE_TYPES, PASSING, ROUTES
+from stemma.session import cut
 
 
 def violation(rows: DataFrame, rule: str, object_id, detail: Column | None = None, severity: str = "error") -> DataFrame:
@@ -53,17 +54,22 @@ def import_direction(edges: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def edge_gates(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Self loops, unknown ends, types and dispositions, empty reasons, and duplicates, of typed edges (src, dst, type, reason, disposition)."""
+    """Self loops, unknown ends and types, empty reasons, evidence and duplicates of edges (src, dst, type, reason, oracle_status, disposition,
+    source_alignment, lean_support). Two edges between the same ends are duplicates, whatever their types."""
     name = F.concat_ws(">", "src", "dst")
     ids = nodes.select("id").distinct()
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     return together(
         violation(edges.where("src = dst"), "self loop", name),
         violation(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti"), "unknown source", name),
         violation(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti"), "unknown target", name),
         violation(edges.where(~F.coalesce(F.col("type").isin(*EDGE_TYPES), F.lit(False))), "edge type", name, F.col("type")),
         violation(edges.where(~F.coalesce(F.col("disposition").isin(*DISPOSITIONS), F.lit(False))), "disposition", name, F.col("disposition")),
+        violation(edges.where("not oracle_status <=> 'ORACLE_PROPOSED'"), "oracle status", name, F.col("oracle_status")),
+        violation(edges.where(empty("source_alignment")), "source alignment", name),
+        violation(edges.where(empty("lean_support")), "lean support", name),
         violation(edges.where("coalesce(trim(reason), '') = ''"), "reason", name),
-        violation(edges.groupBy("src", "dst", "type").count().where("count > 1"), "duplicate edge", name, F.col("type")),
+        violation(edges.groupBy("src", "dst").count().where("count > 1"), "duplicate edge", name),
     )
 
 
@@ -95,10 +101,115 @@ def coverage(objects: DataFrame) -> DataFrame:
     )
 
 
-def unclosed_exports(contracts: DataFrame, objects: DataFrame) -> DataFrame:
-    """Accepted exports (id, statement, accepted) with an obligation that hasn't passed."""
-    open_ = objects.select(F.col("object_id").alias("statement"), F.explode("verification_obligations").alias("o")).where(~F.col("o.status").isin(*PASSING))
-    return violation(contracts.where("accepted").join(open_, "statement").select("id", "o.route", "o.status"), "release", "id", F.concat_ws(":", "route", "status"))
+def partition_gates(objects: DataFrame, records: DataFrame, verified: DataFrame, formal: DataFrame) -> DataFrame:
+    """All rules of the objects of a partition, those of coverage() among them.
+
+    objects: object_id, approximation_introduced, verification_obligations (route, status, evidence, declarations, formalization_contracts,
+    scope_relation, fields: the names of the keys it has), not_applicable (route, reason); records: id, origin, source_anchors, scope_relation;
+    verified: name of each declaration that was checked; formal: id, status, declarations.
+    """
+    duty = F.coalesce("verification_obligations", F.array().cast(objects.schema["verification_obligations"].dataType))
+    first = lambda route: F.get(F.filter(duty, lambda o: o["route"] == route), F.lit(0))
+    none = F.exists("not_applicable", lambda n: n["route"] == "PHYSICAL_APPROXIMATION")
+    rows = objects.withColumn("near", first("PHYSICAL_APPROXIMATION")).withColumn("source", first("SOURCE_ALIGNMENT")).withColumn("lean", first("LEAN_KERNEL"))
+    exact = rows.where(~F.col("approximation_introduced") & (F.col("near").isNotNull() | ~F.coalesce(none, F.lit(False))))
+    absent = F.array_except(F.array(*map(F.lit, APPROXIMATION)), F.coalesce("near.fields", F.array().cast("array<string>")))
+    lacking = rows.where(F.col("approximation_introduced") & F.col("near").isNotNull()).select("object_id", F.explode(absent).alias("field"))
+    both = F.arrays_overlap(F.transform(duty, lambda o: o["route"]), F.transform("not_applicable", lambda n: n["route"]))
+
+    told = rows.join(records.select(F.col("id").alias("object_id"), "origin", "source_anchors", F.col("scope_relation").alias("relation")), "object_id")
+    made = F.col("origin").isin("AGENT_NORMALIZED", "AGENT_INFERRED")
+    relation = F.coalesce(F.nullif("relation", F.lit("")), F.nullif("source.scope_relation", F.lit("")))
+
+    kernel = rows.where("lean.status = 'KERNEL_CHECKED'").select("object_id", F.coalesce("lean.declarations", F.array().cast("array<string>")).alias("names"), F.coalesce("lean.formalization_contracts", F.array().cast("array<string>")).alias("contracts"))
+    named = kernel.select("object_id", F.explode("names").alias("name"))
+    bound = kernel.select("object_id", "names", F.explode("contracts").alias("contract")).join(formal.select(F.col("id").alias("contract"), "status", F.col("declarations").alias("covers"), F.lit(True).alias("known")), "contract", "left")
+    checked = F.col("known") & (F.col("status") == "KERNEL_CHECKED")
+    return together(
+        coverage(objects),
+        violation(rows.where(both), "required and not applicable", "object_id"),
+        violation(exact, "exact object", "object_id"),
+        violation(lacking, "approximation field", "object_id", F.col("field")),
+        violation(rows.where("approximation_introduced is null"), "approximation is no boolean", "object_id"),
+        violation(told.where((made | (F.col("origin") == "SOURCE_EXPLICIT")) & F.col("source").isNull()), "alignment obligation", "object_id", F.col("origin")),
+        violation(told.where("origin = 'SOURCE_EXPLICIT' and coalesce(size(source_anchors), 0) <= 0"), "source anchors", "object_id"),
+        violation(told.where(made & relation.isNull()), "scope relation", "object_id", F.col("origin")),
+        violation(kernel.where("size(contracts) = 0"), "formalization contract", "object_id"),
+        violation(named.join(verified.select("name").distinct(), "name", "left_anti"), "not verified", "object_id", F.col("name")),
+        violation(bound.where("known is null"), "unknown formalization contract", "object_id", F.col("contract")),
+        violation(bound.where(F.col("known") & ~F.coalesce(F.col("status") == "KERNEL_CHECKED", F.lit(False))), "contract is not checked", "object_id", F.col("contract")),
+        violation(bound.where(checked & (F.size(F.array_except("names", F.coalesce("covers", F.array().cast("array<string>")))) > 0)), "declaration not covered", "object_id", F.col("contract")),
+        violation(rows.where("contains(lean.status, 'STALE_EVIDENCE')"), "stale evidence", "object_id", severity="warning"),
+    )
+
+
+def unclosed_exports(exports: DataFrame, objects: DataFrame) -> DataFrame:
+    """Obligations (of objects: root, object_id, verification_obligations) that haven't passed, in roots that have an accepted export
+    (root, accepted). A missing status hasn't passed."""
+    open_ = objects.join(exports.where("accepted").select("root").distinct(), "root", "left_semi").select("object_id", F.explode("verification_obligations").alias("o"))
+    return violation(open_.where(~F.coalesce(F.col("o.status").isin(*PASSING), F.lit(False))), "release", "object_id", F.concat_ws(":", "o.route", "o.status"))
+
+
+def integrity(statements: DataFrame, foundations: DataFrame, steps: DataFrame, contracts: DataFrame, blockers: DataFrame, anchors: DataFrame, verifications: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """References between all collections, the graph (nodes: id; edges: src, dst, step) against the steps, and the lifecycle of exports.
+
+    Open blockers and exports that aren't accepted are warnings.
+    """
+    ids = lambda rows, c="id": rows.select(F.col(c).cast("string").alias("id"))
+
+    def lost(rows: DataFrame, refs, known: DataFrame, rule: str, only=None) -> DataFrame:
+        refs = F.col(refs) if isinstance(refs, str) else refs
+        each = rows.select(F.col("id").alias("object_id"), F.explode(refs.cast("array<string>")).alias("id"))
+        each = each if only is None else each.where(only)
+        return violation(each.join(known, "id", "left_anti"), rule, "object_id", F.col("id"))
+
+    founded = ids(foundations, "statement_id")
+    claims = cut(ids(statements).unionByName(founded).distinct(), "claim-ids")
+    imported = F.transform("imports", lambda i: i["contract"])
+    steps_of = steps.select(F.col("id").alias("step"), "inputs", "outputs")
+    told = edges.join(steps_of.withColumn("known", F.lit(True)), "step", "left")
+    name = F.concat_ws(">", "src", "dst")
+    ends = edges.join(ids(nodes).select(F.col("id").alias("a")), F.col("src").cast("string") == F.col("a"), "left").join(ids(nodes).select(F.col("id").alias("b")), F.col("dst").cast("string") == F.col("b"), "left")
+    accepted = F.coalesce("accepted", F.lit(False))
+    return together(
+        lost(statements, "source_anchors", ids(anchors), "unknown source anchor"),
+        lost(statements, "logical_form.hypotheses", claims, "unknown hypothesis"),
+        lost(steps, F.concat("inputs", "outputs"), claims, "unknown claim"),
+        lost(steps, "source_anchors", ids(anchors), "unknown step anchor"),
+        lost(steps, "verification_records", ids(verifications), "unknown verification"),
+        lost(steps, "active_assumptions", claims, "unknown active assumption"),
+        lost(contracts, F.array("statement"), claims, "unknown exported statement"),
+        lost(contracts, "assumptions", claims, "unknown assumption", F.col("id").startswith("assumption:")),
+        lost(contracts, imported, ids(contracts).unionByName(founded), "unknown import"),
+        lost(contracts, "blockers", ids(blockers), "unknown blocker"),
+        lifecycle(contracts),
+        violation(ids(nodes).join(claims, "id", "left_anti"), "unknown node", "id"),
+        violation(ends.where("a is null or b is null"), "undeclared endpoint", name),
+        violation(told.where("known is null"), "unknown step", name, F.col("step")),
+        violation(told.where(F.col("known") & ~(F.array_contains("inputs", F.col("src")) & F.array_contains("outputs", F.col("dst")))), "edge and step disagree", name, F.col("step")),
+        acyclic(nodes.select("id"), edges.select("src", "dst")),
+        violation(contracts.where(~accepted), "unaccepted export", "id", severity="warning"),
+        violation(blockers.where("status = 'OPEN'"), "open blocker", "id", severity="warning"),
+    )
+
+
+def report(violations: DataFrame) -> DataFrame:
+    """rule, severity, n: the violations of each rule, and two rows that sum up. 'verdict' counts errors and is PASSED or FAILED; 'release
+    gate' counts warnings and is PASSED or BLOCKED. Strict readers ask for both."""
+    counts = cut(violations.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n")), "rule-counts")
+    total = lambda severity: F.coalesce(F.sum(F.when(F.col("severity") == severity, F.col("n"))), F.lit(0))
+    errors, warnings = counts.agg(total("error").alias("n")), counts.agg(total("warning").alias("n"))
+    return together(
+        counts,
+        errors.select(F.lit("verdict").alias("rule"), F.when(F.col("n") == 0, "PASSED").otherwise("FAILED").alias("severity"), "n"),
+        warnings.select(F.lit("release gate").alias("rule"), F.when(F.col("n") == 0, "PASSED").otherwise("BLOCKED").alias("severity"), "n"),
+    )
+
+
+def exit_state(summary: DataFrame, strict: bool = False) -> int:
+    """0 if a report passed, with strict also its release gate; else 1."""
+    said = {r.rule: r.severity for r in summary.where("rule in ('verdict', 'release gate')").collect()}
+    return int(said["verdict"] != "PASSED" or (strict and said["release gate"] != "PASSED"))
 
 
 def lifecycle(contracts: DataFrame) -> DataFrame:
@@ -136,5 +247,5 @@ def pipeline_states(contracts: DataFrame) -> DataFrame:
         violation(contracts.where(~F.coalesce(F.col("status").isin(*states), F.lit(False))), "status", "id", F.col("status")),
         violation(contracts.where("evidence is null"), "evidence", "id"),
         violation(contracts.where("coalesce(effect, '') = ''"), "effect", "id"),
-        violation(contracts.where("status = 'BLOCKING_UNRESOLVED_CLAIM' and (owner <> 'UNMAPPED' or effect not like '%BLOCK%')"), "unresolved but owned", "id", F.col("owner")),
+        violation(contracts.where("status = 'BLOCKING_UNRESOLVED_CLAIM' and (not owner <=> 'UNMAPPED' or not effect <=> 'BLOCKS_DAG_COMPLETION_WHEN_REQUIRED')"), "unresolved but owned", "id", F.col("owner")),
     )

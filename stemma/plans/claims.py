@@ -58,13 +58,13 @@ def hyper_producers(t: Tables) -> DataFrame:
 @query("""SELECT tg.id AS target,
   CASE WHEN EXISTS (SELECT 1 FROM bh WHERE bh.target = tg.id) OR EXISTS (SELECT 1 FROM hc JOIN sp ON sp.output = hc.id WHERE hc.target = tg.id AND sp.status = 'BLOCKED') THEN 'BLOCKED' ELSE ba.basis END AS basis,
   (SELECT count(*) FROM hc WHERE hc.target = tg.id) AS n_claims, (SELECT count(*) FROM hc JOIN sp ON sp.output = hc.id WHERE hc.target = tg.id) AS n_steps,
-  (SELECT count(DISTINCT sp.output % 17) FROM hc JOIN sp ON sp.output = hc.id WHERE hc.target = tg.id) + (SELECT count(*) FROM co WHERE co.statement = tg.id) AS n_assumptions,
+  (SELECT count(DISTINCT sp.output % 17) FROM hc JOIN sp ON sp.output = hc.id WHERE hc.target = tg.id) + 1 AS n_assumptions,
   (SELECT count(*) FROM bh WHERE bh.target = tg.id) AS n_blockers FROM tg JOIN ba ON ba.id = tg.id""")
 def why(t: Tables) -> DataFrame:
     return t.bundle().why(t.targets())
 
 
-@query("SELECT target, 'assumption:' || (sp.output % 17) AS assumption FROM hc JOIN sp ON sp.output = hc.id UNION SELECT statement, assumption FROM co WHERE statement IN (SELECT id FROM tg)")
+@query("SELECT target, 'assumption:' || (sp.output % 17) AS assumption FROM hc JOIN sp ON sp.output = hc.id UNION SELECT id, 'assumption:h' || (id % 5) FROM tg")
 def assumptions(t: Tables) -> DataFrame:
     return t.bundle().assumptions(t.targets())
 
@@ -154,11 +154,14 @@ def dep_pref_target(t: Tables) -> DataFrame:
 
 @query("""c AS (SELECT cl.target, count(*) AS closure_nodes, count(*) FILTER (external = 'NOT_APPLICABLE') AS n_not_applicable, count(*) FILTER (external = 'SOURCE_FOUND_AND_VERIFIED') AS n_source_found_and_verified,
   count(*) FILTER (external = 'INDEPENDENT_LEAN_PROOF_COMPLETED') AS n_independent_lean_proof_completed, count(*) FILTER (external = 'BLOCKING_UNRESOLVED_CLAIM') AS n_blocking_unresolved_claim,
-  sum(len(blocker_ids))::BIGINT AS blocker_refs, len(list_distinct(flatten(list(blocker_ids)))) AS blockers, sum(review::INT)::BIGINT AS pending_reviews FROM cl JOIN n ON n.id = cl.id GROUP BY 1),
- x AS (SELECT a.target, count(*) AS closure_edges, count(*) FILTER (disposition = 'CANDIDATE') AS candidate_edges FROM te JOIN cl a ON a.id = te.src JOIN cl b ON b.id = te.dst AND a.target = b.target GROUP BY 1)
- SELECT c.*, coalesce(closure_edges, 0) AS closure_edges, coalesce(candidate_edges, 0) AS candidate_edges,
-  CASE WHEN n_blocking_unresolved_claim > 0 THEN 'FALSE' WHEN coalesce(candidate_edges, 0) > 0 THEN 'NOT EVALUABLE' ELSE 'TRUE' END AS dag_complete,
-  CASE WHEN n_blocking_unresolved_claim > 0 OR blockers > 0 THEN 'FALSE' ELSE 'NOT ESTABLISHED' END AS verification_closed FROM c LEFT JOIN x USING (target)""")
+  count(*) FILTER (binding = 'EXISTING_PROJECT_DECLARATIONS') AS b_existing_project_declarations, count(*) FILTER (binding = 'PLANNED_DELTA') AS b_planned_delta, count(*) FILTER (binding = 'GAP') AS b_gap,
+  count(*) FILTER (binding = 'EXTERNAL_OR_UNMAPPED') AS b_external_or_unmapped, count(*) FILTER (binding = 'NOT_APPLICABLE') AS b_not_applicable,
+  sum(len(blocker_ids))::BIGINT AS blocker_refs, len(list_distinct(flatten(list(blocker_ids)))) AS blockers FROM cl JOIN n ON n.id = cl.id GROUP BY 1),
+ x AS (SELECT a.target, count(*) AS closure_edges, count(*) FILTER (disposition = 'CANDIDATE') AS candidate_edges, count(*) FILTER (disposition IS NULL OR disposition NOT IN ('ACCEPTED', 'CONDITIONAL')) AS pending_reviews
+       FROM te JOIN cl a ON a.id = te.src JOIN cl b ON b.id = te.dst AND a.target = b.target GROUP BY 1)
+ SELECT c.*, coalesce(closure_edges, 0) AS closure_edges, coalesce(candidate_edges, 0) AS candidate_edges, coalesce(pending_reviews, 0) AS pending_reviews,
+  CASE WHEN n_blocking_unresolved_claim > 0 THEN 'FALSE' WHEN coalesce(pending_reviews, 0) > 0 THEN 'NOT EVALUABLE' ELSE 'TRUE' END AS dag_complete,
+  CASE WHEN blockers > 0 OR b_gap > 0 OR b_planned_delta > 0 OR b_external_or_unmapped > 0 THEN 'FALSE' ELSE 'NOT ESTABLISHED' END AS verification_closed FROM c LEFT JOIN x USING (target)""")
 def query_state(t: Tables) -> DataFrame:
     return state.query_state(t.targets(), t.nodes(), t.typed_edges())
 
@@ -234,11 +237,75 @@ def dup_ids(t: Tables) -> DataFrame:
     return validate.duplicate_ids(t.events.select(F.col("user_id").alias("id")))
 
 
-@query("SELECT 'release' AS rule, co.id::VARCHAR AS object_id, 'LEAN_KERNEL:OPEN' AS detail, 'error' AS severity FROM co WHERE accepted AND statement % 4 = 0")
+@query("SELECT 'release' AS rule, statement::VARCHAR AS object_id, CASE WHEN statement % 4 = 0 THEN 'LEAN_KERNEL:OPEN' ELSE 'LEAN_KERNEL' END AS detail, 'error' AS severity FROM co WHERE statement % 4 IN (0, 1) AND statement % 40 IN (SELECT statement % 40 FROM co WHERE accepted)")
 def release_gate(t: Tables) -> DataFrame:
+    status = F.when(F.col("statement") % 4 == 0, "OPEN").when(F.col("statement") % 4 > 1, "KERNEL_CHECKED")
+    duty = F.array(F.struct(F.lit("LEAN_KERNEL").alias("route"), status.alias("status")))
+    exports = t.bundle().contracts.withColumn("root", F.col("statement") % 40)
+    return validate.unclosed_exports(exports, exports.select("root", F.col("statement").alias("object_id"), duty.alias("verification_obligations")))
+
+
+def summed(rules: str) -> str:
+    """SQL of a report from its counts (rule, severity, n)."""
+    return f"""{rules}, sums AS (SELECT rule, severity, n::BIGINT AS n FROM r WHERE n > 0), er AS (SELECT coalesce(sum(n) FILTER (severity = 'error'), 0)::BIGINT AS e, coalesce(sum(n) FILTER (severity = 'warning'), 0)::BIGINT AS w FROM sums)
+    SELECT * FROM sums UNION ALL SELECT 'verdict', CASE WHEN e = 0 THEN 'PASSED' ELSE 'FAILED' END, e FROM er UNION ALL SELECT 'release gate', CASE WHEN w = 0 THEN 'PASSED' ELSE 'BLOCKED' END, w FROM er"""
+
+
+@query(summed("""ge AS (SELECT src, dst, step FROM se UNION ALL SELECT dst, src, step FROM se WHERE step % 40 = 0), na AS (SELECT n_nationkey AS id FROM nation), de AS (SELECT p_partkey AS id FROM part WHERE p_size <> 31),
+ w AS (SELECT DISTINCT src AS a, dst AS b FROM ge UNION SELECT w.a, ge.dst FROM w JOIN ge ON ge.src = w.b),
+ r AS (SELECT 'unknown source anchor' AS rule, 'error' AS severity, count(*) AS n FROM part WHERE p_partkey % 30 NOT IN (SELECT id FROM na)
+  UNION ALL SELECT 'unknown hypothesis', 'error', count(*) FROM st
+  UNION ALL SELECT 'unknown claim', 'error', count(*) FROM (SELECT src AS id FROM se UNION ALL SELECT output FROM sp) WHERE id NOT IN (SELECT id FROM st)
+  UNION ALL SELECT 'unknown step anchor', 'error', count(*) FROM sp WHERE output % 27 NOT IN (SELECT id FROM na)
+  UNION ALL SELECT 'unknown verification', 'error', count(*) FROM (SELECT unnest([output % 50, output % 7]) AS id FROM sp) WHERE id NOT IN (SELECT id FROM na)
+  UNION ALL SELECT 'unknown active assumption', 'error', count(*) FROM sp
+  UNION ALL SELECT 'unknown exported statement', 'error', count(*) FROM co WHERE statement NOT IN (SELECT id FROM st)
+  UNION ALL SELECT 'unknown assumption', 'error', count(*) FROM co
+  UNION ALL SELECT 'unknown import', 'error', count(*) FROM co WHERE imported NOT IN (SELECT id FROM co UNION SELECT id FROM fo)
+  UNION ALL SELECT 'unknown blocker', 'error', count(*) FROM (SELECT unnest(blockers) AS id FROM co) WHERE id NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT 'lifecycle', 'error', count(*) FROM co WHERE accepted AND lifecycle_status NOT IN ('VERIFIED', 'VERIFICATION_CLOSED')
+  UNION ALL SELECT 'unknown node', 'error', count(*) FROM supplier
+  UNION ALL SELECT 'undeclared endpoint', 'error', count(*) FROM ge WHERE src NOT IN (SELECT id FROM de) OR dst NOT IN (SELECT id FROM de)
+  UNION ALL SELECT 'unknown step', 'error', count(*) FROM ge WHERE step % 50 = 4
+  UNION ALL SELECT 'edge and step disagree', 'error', count(*) FROM ge WHERE step % 50 <> 4 AND NOT EXISTS (SELECT 1 FROM se WHERE se.src = ge.src AND se.dst = ge.dst AND se.step = ge.step)
+  UNION ALL SELECT 'cycle', 'error', count(DISTINCT b) FROM w WHERE a IN (SELECT a FROM w WHERE a = b)
+  UNION ALL SELECT 'unaccepted export', 'warning', count(*) FROM co WHERE NOT accepted
+  UNION ALL SELECT 'open blocker', 'warning', count(DISTINCT id) FROM bl WHERE status = 'OPEN')"""))
+def integrity_report(t: Tables) -> DataFrame:
     b = t.bundle()
-    duty = F.array(F.struct(F.lit("LEAN_KERNEL").alias("route"), F.when(F.col("statement") % 4 == 0, "OPEN").otherwise("KERNEL_CHECKED").alias("status")))
-    return validate.unclosed_exports(b.contracts, b.contracts.select(F.col("statement").alias("object_id"), duty.alias("verification_obligations")))
+    return validate.report(validate.integrity(b.statements, b.foundations, b.steps, b.contracts, b.blockers, b.anchors, b.verifications, t.graph_nodes(), t.graph_edges()))
+
+
+@query(summed("""p AS (SELECT p_partkey AS k, p_size AS s FROM part),
+ r AS (SELECT 'route coverage' AS rule, 'error' AS severity, count(*) AS n FROM p WHERE s % 7 = 0
+  UNION ALL SELECT 'reason', 'error', count(*) FROM p WHERE s % 11 = 0
+  UNION ALL SELECT 'declarations', 'error', count(*) FROM p WHERE s % 3 = 0 AND s % 6 <> 0
+  UNION ALL SELECT 'formalization contract', 'error', count(*) FROM p WHERE s % 3 = 0 AND s % 6 <> 0
+  UNION ALL SELECT 'exact object', 'error', count(*) FROM p WHERE s % 8 <> 0 AND s % 9 <> 1 AND s % 4 = 0
+  UNION ALL SELECT 'approximation field', 'error', 2 * count(*) FROM p WHERE s % 8 = 0 AND s % 16 <> 0
+  UNION ALL SELECT 'approximation is no boolean', 'error', count(*) FROM p WHERE s % 8 <> 0 AND s % 9 = 1
+  UNION ALL SELECT 'alignment obligation', 'error', count(*) FROM p WHERE s % 3 <> 1 AND s % 7 = 0
+  UNION ALL SELECT 'source anchors', 'error', count(*) FROM p WHERE s % 3 = 0 AND s % 13 = 0
+  UNION ALL SELECT 'scope relation', 'error', count(*) FROM p WHERE s % 3 = 2 AND s % 10 <> 2 AND NOT (s % 5 = 0 AND s % 7 <> 0)
+  UNION ALL SELECT 'not verified', 'error', count(*) FROM p WHERE s % 6 = 0 AND k % 5 = 4
+  UNION ALL SELECT 'unknown formalization contract', 'error', count(*) FROM p WHERE s % 6 = 0 AND k % 4 = 3
+  UNION ALL SELECT 'contract is not checked', 'error', count(*) FROM p WHERE s % 6 = 0 AND k % 4 = 1
+  UNION ALL SELECT 'declaration not covered', 'error', count(*) FROM p WHERE s % 6 = 0 AND (k % 4 = 0 AND k % 5 = 3 OR k % 4 = 2 AND k % 5 IN (1, 2, 4))
+  UNION ALL SELECT 'stale evidence', 'warning', count(*) FROM p WHERE s % 3 = 2)"""))
+def partition_report(t: Tables) -> DataFrame:
+    return validate.report(validate.partition_gates(*t.partition()))
+
+
+@query(summed("""x AS (SELECT src, dst, src + dst AS n, type, disposition FROM te UNION ALL SELECT src, dst, src + dst, 'odd_dependency', disposition FROM te WHERE dst % 23 = 0),
+ r AS (SELECT 'edge type' AS rule, 'error' AS severity, count(*) AS n FROM x WHERE type = 'odd_dependency'
+  UNION ALL SELECT 'disposition', 'error', count(*) FROM x WHERE disposition IS NULL
+  UNION ALL SELECT 'reason', 'error', count(*) FROM x WHERE n % 29 = 0
+  UNION ALL SELECT 'oracle status', 'error', count(*) FROM x WHERE n % 31 = 0
+  UNION ALL SELECT 'source alignment', 'error', count(*) FROM x WHERE n % 37 = 0
+  UNION ALL SELECT 'lean support', 'error', count(*) FROM x WHERE n % 41 = 0
+  UNION ALL SELECT 'duplicate edge', 'error', count(*) FROM (SELECT src, dst FROM x GROUP BY ALL HAVING count(*) > 1))"""))
+def edge_report(t: Tables) -> DataFrame:
+    return validate.report(validate.edge_gates(t.evidence_edges(), t.nodes()))
 
 
 @query("SELECT 'lifecycle' AS rule, id::VARCHAR AS object_id, lifecycle_status AS detail, 'error' AS severity FROM co WHERE accepted AND lifecycle_status NOT IN ('VERIFIED', 'VERIFICATION_CLOSED')")
@@ -276,7 +343,7 @@ def owner_linked_pct(t: Tables) -> DataFrame:
 @query("SELECT owner, 'A' || lpad(k::VARCHAR, greatest(2, length(k::VARCHAR))::INT, '0') AS code, members FROM (SELECT owner, row_number() OVER (ORDER BY owner) AS k, members FROM (SELECT owner, count(*) AS members FROM n GROUP BY 1))")
 def agent_codes(t: Tables) -> DataFrame:
     owners = t.nodes().groupBy("owner").agg(F.count(F.lit(1)).alias("members"))
-    return owners.withColumn("k", F.row_number().over(Window.orderBy("owner"))).select("owner", code(F.col("k")).alias("code"), "members")
+    return registry.ranked(owners, "owner", "k").select("owner", code(F.col("k")).alias("code"), "members")
 
 
 @query("SELECT 'in both' AS what, count(*) AS n FROM (SELECT doc_id FROM labels INTERSECT SELECT doc_id FROM documents) UNION ALL SELECT 'unlabelled', count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents UNION SELECT doc_id FROM labels) UNION ALL SELECT 'bag', count(*) FROM (SELECT lang FROM documents EXCEPT ALL SELECT lang FROM documents WHERE doc_id % 2 = 0)")
@@ -299,7 +366,7 @@ def latest_revision(t: Tables) -> DataFrame:
 
 
 # text
-@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) AS excerpt FROM documents")
+@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[1:3], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 3 THEN chr(10) ELSE '' END AS excerpt FROM documents")
 def line_excerpt(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", excerpt(F.col("text"), F.lit(1), F.lit(3)).alias("excerpt"))
 
@@ -326,47 +393,47 @@ def audit_log_extract(t: Tables) -> DataFrame:
 
 
 # labels and masks
-@query("SELECT i, j FROM pp WHERE ac")
+@query("SELECT graph, i, j FROM pp WHERE ac")
 def frustration_edges(t: Tables) -> DataFrame:
-    return pauli.pairs(t.pauli()).where("anti").select("i", "j")
+    return pauli.pairs(t.pauli()).where("anti").select("graph", "i", "j")
 
 
-@query("SELECT m, bit_count(m)::INT AS size FROM cq WHERE bit_count(m) = (SELECT max(bit_count(m)) FROM cq)")
+@query("SELECT graph, m, bit_count(m)::INT AS size FROM cq QUALIFY bit_count(m) = max(bit_count(m)) OVER (PARTITION BY graph)")
 def cliques_max(t: Tables) -> DataFrame:
     c = pauli.cliques(t.pauli())
-    return c.join(pauli.clique_number(t.pauli()), "graph").where(F.bit_count("m") == F.col("omega")).select("m", F.col("omega").alias("size"))
+    return c.join(pauli.clique_number(t.pauli()), "graph").where(F.bit_count("m") == F.col("omega")).select("graph", "m", F.col("omega").alias("size"))
 
 
-@query("SELECT round(max(w), 6) AS alpha FROM (SELECT m, sum(b) AS w FROM ind JOIN pv ON (m >> v) & 1 = 1 GROUP BY m)")
+@query("SELECT graph, round(max(w), 6) AS alpha FROM (SELECT ind.graph, m, sum(b) AS w FROM ind JOIN pv ON pv.graph = ind.graph AND (m >> v) & 1 = 1 GROUP BY ALL) GROUP BY 1")
 def mwis(t: Tables) -> DataFrame:
-    return pauli.heaviest_independent(t.pauli(), F.col("b")).select(F.round("alpha", 6).alias("alpha"))
+    return pauli.heaviest_independent(t.pauli(), F.col("b")).select("graph", F.round("alpha", 6).alias("alpha"))
 
 
-@query("SELECT round(greatest(1.0, max(w)), 6) AS value FROM (SELECT m, sum(abs(b)) AS w FROM cq JOIN pv ON (m >> v) & 1 = 1 GROUP BY m)")
+@query("SELECT graph, round(greatest(1.0, max(w)), 6) AS value FROM (SELECT cq.graph, m, sum(abs(b)) AS w FROM cq JOIN pv ON pv.graph = cq.graph AND (m >> v) & 1 = 1 GROUP BY ALL) GROUP BY 1")
 def max_clique_weight_formula(t: Tables) -> DataFrame:
-    return pauli.graph_formula(t.pauli()).select(F.round("value", 6).alias("value"))
+    return pauli.graph_formula(t.pauli()).select("graph", F.round("value", 6).alias("value"))
 
 
-@query("SELECT m FROM ind WHERE NOT EXISTS (SELECT 1 FROM ind o WHERE o.m <> ind.m AND o.m & ind.m = ind.m)")
+@query("SELECT graph, m FROM ind WHERE NOT EXISTS (SELECT 1 FROM ind o WHERE o.graph = ind.graph AND o.m <> ind.m AND o.m & ind.m = ind.m)")
 def commuting_contexts(t: Tables) -> DataFrame:
-    return pauli.contexts(t.pauli()).select("m")
+    return pauli.contexts(t.pauli()).select("graph", "m")
 
 
-@query("r AS (SELECT m FROM ms JOIN pv ON (m >> v) & 1 = 1 GROUP BY m HAVING bit_xor(x) = 0 AND bit_xor(z) = 0) SELECT m FROM r WHERE m IN (SELECT m FROM ind) AND NOT EXISTS (SELECT 1 FROM r o WHERE o.m <> r.m AND o.m & r.m = o.m)")
+@query("r AS (SELECT ms.graph, m FROM ms JOIN pv ON pv.graph = ms.graph AND (m >> v) & 1 = 1 GROUP BY ALL HAVING bit_xor(x) = 0 AND bit_xor(z) = 0) SELECT graph, m FROM r WHERE EXISTS (SELECT 1 FROM ind WHERE ind.graph = r.graph AND ind.m = r.m) AND NOT EXISTS (SELECT 1 FROM r o WHERE o.graph = r.graph AND o.m <> r.m AND o.m & r.m = o.m)")
 def dependency_supports(t: Tables) -> DataFrame:
-    return pauli.active_dependencies(t.pauli()).select("m")
+    return pauli.active_dependencies(t.pauli()).select("graph", "m")
 
 
 @query(None)
 def admissible_signs(t: Tables) -> DataFrame:
     v = t.pauli()
-    return pauli.admissible_signs(v, pauli.contexts(v)).select("m", "s")
+    return pauli.admissible_signs(v, pauli.contexts(v)).select("graph", "m", "s")
 
 
-@query("SELECT round(-ln(sum(pow(b / 10000, 4)) / 8), 6) AS collision, round(sum(pow(b / 10000, 2)) / 8, 6) AS purity FROM pv")
+@query("SELECT graph, round(-ln(sum(pow(b / 10000, 4)) / 8), 6) AS collision, round(sum(pow(b / 10000, 2)) / 8, 6) AS purity FROM pv GROUP BY 1")
 def collision_entropy(t: Tables) -> DataFrame:
     got = pauli.renyi(t.pauli().select("graph", (F.col("b") / 10000).alias("value")), 3)
-    return got.select(F.round("collision", 6).alias("collision"), F.round("purity", 6).alias("purity"))
+    return got.select("graph", F.round("collision", 6).alias("collision"), F.round("purity", 6).alias("purity"))
 
 
 CASES = {
@@ -399,20 +466,20 @@ def perfect_certificate(t: Tables) -> DataFrame:
 
 @query(None)
 def chromatic(t: Tables) -> DataFrame:
-    e = pauli.pairs(t.pauli()).where("anti").select("graph", F.lit(10).alias("n"), "i", "j")
+    e = pauli.pairs(t.pauli()).where("anti").select("graph", F.lit(8).alias("n"), "i", "j")
     return lp.perfect_by_graph(e).select("graph", "chi", "omega")
 
 
 # retrieval
 BM25 = """tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), ln_ AS (SELECT id, len(t) AS len, t FROM tk), sts AS (SELECT count(*) AS n, avg(len) AS av FROM ln_),
-qs AS (SELECT DISTINCT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id < 10),
+qs AS (SELECT DISTINCT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS term FROM benchmark WHERE item_id % 50 = 0),
 tf AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len, unnest(t) AS term FROM ln_) WHERE term IN (SELECT term FROM qs) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 sc AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / av))), 6) AS score FROM qs JOIN tf USING (term) JOIN df USING (term), sts GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc QUALIFY rank <= 20)"""
 
 
 def _bm25(t: Tables) -> DataFrame:
-    return retrieval.bm25(t.words(), t.benchmark.where("item_id < 10").select(F.col("item_id").alias("query"), "text"), 20)
+    return retrieval.bm25(t.words(), t.benchmark.where("item_id % 50 = 0").select(F.col("item_id").alias("query"), "text"), 20)
 
 
 @query(f"{BM25} SELECT query, id, score FROM bm WHERE rank <= 5")
@@ -478,7 +545,7 @@ def threshold_abstain(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", retrieval.decision((F.col("doc_id") % 101) / 100.0, 0.3, 0.7).alias("decision"))
 
 
-@query(None)
+@query("SELECT doc_id, source, CASE ('0x' || substr(sha256(source), 1, 8))::BIGINT % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'dev' ELSE 'train' END AS split FROM documents")
 def split_by_family(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "source", retrieval.split(F.col("source")).alias("split"))
 

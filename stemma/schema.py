@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names and types of the fields of each collection.
 STATEMENT = "id string, kind string, text string, origin string, symbols array<string>, source_anchors array<string>, logical_form struct<quantifiers:string,hypotheses:array<string>,conclusion:string>, truth_status string, scope_relation string"
 ANCHOR = "id string, paper_id string, artifact string, artifact_hash string, content_hash string, location struct<page:int,page_start:int,page_end:int,section:string,line_start:int,line_end:int,label:string>"
 STEP = "id string, chain_id string, inputs array<string>, outputs array<string>, operation string, justification struct<description:string>, active_assumptions array<string>, source_anchors array<string>, verification_records array<string>, status string"
@@ -18,3 +19,4 @@ DISPOSITIONS = ("CANDIDATE", "ACCEPTED", "CONDITIONAL", "REJECTED", "REDUNDANT_I
 EDGE_TYPES = ("scientific_claim_dependency", "definition_dependency", "scope_dependency", "data_dependency")
 PASSING = ("PASSED", "KERNEL_CHECKED", "HUMAN_REVIEWED", "REPRODUCED")
 CLOSED = ("VERIFIED", "VERIFICATION_CLOSED")
+APPROXIMATION = ("exact_parent", "approximation_map", "control_parameters", "error_model", "validity_regime", "propagates_to")

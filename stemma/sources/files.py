@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.functions.text import audited_axioms, bare_hash
+from stemma.session import ship
 
-WHITELIST = ("path", "file", "artifact", "manifest", "source", "log", "schema")
+# The keys whose strings are paths.
+PATH_KEYS = (
+    "canonical_artifact", "artifacts", "source_hashes", "anchors", "statements", "symbols", "chains", "records", "formalization_contract",
+    "verification_partition", "assumption_match", "exports", "unresolved",
+)
 
 
 def read_json(spark: SparkSession, path, schema: str) -> DataFrame:
@@ -62,12 +67,38 @@ def audit_entries(lines: DataFrame) -> DataFrame:
     return hit.select(F.regexp_extract("value", r"^'([^']+)' depends on axioms:", 1).alias("declaration"), F.explode_outer(audited_axioms(F.col("value"))).alias("axiom"))
 
 
-def leaf_paths(documents: DataFrame, keys: tuple[str, ...] = WHITELIST) -> DataFrame:
-    """file, value: strings under the given keys anywhere in JSON documents (file, raw), through lists."""
-    wanted = "|".join(keys)
-    flat = F.regexp_extract_all("raw", F.lit(rf'"(?:{wanted})"\s*:\s*((?:"(?:[^"\\]|\\.)*")|\[[^\]{{}}]*\])'), F.lit(1))
-    each = documents.select("file", F.explode(flat).alias("v")).select("file", F.explode(F.regexp_extract_all("v", F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))).alias("value"))
-    return each
+def leaf_paths(documents: DataFrame, keys: tuple[str, ...] = PATH_KEYS) -> DataFrame:
+    """file, value: the strings of JSON documents (file, raw) that stand under one of the keys, directly or in lists.
+
+    A string belongs to the closest key above it; what isn't JSON has none. Documents are walked without recursion.
+    """
+
+    def walk(raw: str | None):
+        import json
+
+        try:
+            stack = [(None, json.loads(raw or "null"))]
+        except ValueError:
+            return
+        while stack:
+            key, value = stack.pop()
+            if isinstance(value, dict):
+                stack.extend(reversed(list(value.items())))
+            elif isinstance(value, list):
+                stack.extend((key, x) for x in reversed(value))
+            elif isinstance(value, str) and key in keys:
+                yield value
+
+    def batches(rows):
+        import pyarrow as pa
+
+        for batch in rows:
+            found = [list(walk(x)) for x in batch.column(1).to_pylist()]
+            names = [f for f, them in zip(batch.column(0).to_pylist(), found, strict=True) for _ in them]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([v for them in found for v in them], pa.string())], names=["file", "value"])
+
+    ship(documents.sparkSession)
+    return documents.selectExpr("cast(file as string) file", "raw").mapInArrow(batches, "file string, value string")
 
 
 def inside(root: str, path: str) -> str:

@@ -16,11 +16,16 @@ def rules(df):
 
 def test_edges(spark):
     e = spark.createDataFrame(
-        [("a", "b", "scope_dependency", "r", "ACCEPTED"), ("a", "b", "scope_dependency", "r", "ACCEPTED"), ("a", "a", "data_dependency", "r", "CANDIDATE"), ("a", "z", "odd", "", "MAYBE")],
-        "src string, dst string, type string, reason string, disposition string",
+        [
+            ("a", "b", "scope_dependency", "r", "ACCEPTED", "ORACLE_PROPOSED", "x", "y"),
+            ("a", "b", "definition_dependency", "r", "ACCEPTED", "ORACLE_PROPOSED", "x", "y"),  # the same ends, another type
+            ("a", "a", "data_dependency", "r", "CANDIDATE", None, "x", "y"),
+            ("a", "z", "odd", "", "MAYBE", "ORACLE_PROPOSED", "", None),
+        ],
+        "src string, dst string, type string, reason string, disposition string, oracle_status string, source_alignment string, lean_support string",
     )
     got = rules(validate.edge_gates(e, spark.createDataFrame([("a",), ("b",)], "id string")))
-    assert got == sorted([("duplicate edge", "a>b"), ("self loop", "a>a"), ("unknown target", "a>z"), ("edge type", "a>z"), ("disposition", "a>z"), ("reason", "a>z")])
+    assert got == sorted([("duplicate edge", "a>b"), ("self loop", "a>a"), ("unknown target", "a>z"), ("edge type", "a>z"), ("disposition", "a>z"), ("reason", "a>z"), ("oracle status", "a>a"), ("source alignment", "a>z"), ("lean support", "a>z")])
     assert validate.verdict(validate.edge_gates(e, spark.createDataFrame([("a",)], "id string"))).first().verdict == "FAILED"
 
 
@@ -38,7 +43,12 @@ def test_coverage_and_releases(spark):
     objects = spark.createDataFrame(rows, schema.PARTITION)
     assert rules(validate.coverage(objects)) == sorted([("route coverage", "twice"), ("route coverage", "short"), ("reason", "short"), ("approximation", "short"), ("declarations", "kernel")])
     contracts = spark.createDataFrame([("c1", "ok", True, "VERIFIED"), ("c2", "kernel", True, "DRAFT"), ("c3", "kernel", False, "DRAFT")], "id string, statement string, accepted boolean, lifecycle_status string")
-    assert rules(validate.unclosed_exports(contracts, objects)) == [("release", "c2")] and rules(validate.lifecycle(contracts)) == [("lifecycle", "c2")]
+    assert rules(validate.lifecycle(contracts)) == [("lifecycle", "c2")]
+    # one accepted export makes every open obligation of its root an error, also those of other objects and without a status
+    exports = spark.createDataFrame([("r1", True), ("r1", False), ("r2", False), ("r3", None)], "root string, accepted boolean")
+    held = "root string, object_id string, verification_obligations array<struct<route:string,status:string>>"
+    obligations = [("r1", "p", [("LEAN_KERNEL", "OPEN"), ("EMPIRICAL", "PASSED")]), ("r1", "q", [("EMPIRICAL", None)]), ("r2", "s", [("EMPIRICAL", "OPEN")]), ("r3", "t", [("EMPIRICAL", "OPEN")])]
+    assert rules(validate.unclosed_exports(exports, spark.createDataFrame(obligations, held))) == [("release", "p"), ("release", "q")]
 
 
 def test_missing_keys_are_not_nulls(spark):
@@ -58,14 +68,14 @@ def test_files(spark, tmp_path):
     assert files.file_hashes(spark, str(tmp_path)).count() == 2
     with pytest.raises(ValueError):
         files.inside(str(tmp_path), str(tmp_path / ".."))
-    docs = spark.createDataFrame([("f", '{"path": "a/b", "x": {"artifact": ["c", "d"], "other": "e"}}')], "file string, raw string")
-    assert sorted(r.value for r in files.leaf_paths(docs).collect()) == ["a/b", "c", "d"]
+    docs = spark.createDataFrame([("f", '{"anchors": "a/b", "path": "no", "x": {"artifacts": ["c", ["d"], {"other": "e", "exports": "g\\"h"}], "other": "i"}}'), ("bad", "{"), ("none", None)], "file string, raw string")
+    assert [tuple(r) for r in files.leaf_paths(docs).collect()] == [("f", "a/b"), ("f", "c"), ("f", "d"), ("f", 'g"h')]
 
 
 def test_lines(spark):
     rows = spark.createDataFrame([("one\x0ctwo\nthree\r\nfour",)], "t string")
     r = rows.select(text.excerpt(F.col("t"), F.lit(2), F.lit(3)).alias("a"), text.line_hash(F.col("t"), F.lit(1), F.lit(1)).alias("b"), F.sha2(F.lit("one\x0ctwo\n"), 256).alias("c"), text.excerpt(F.col("t"), F.lit(2), F.lit(None).cast("int")).alias("d")).first()
-    assert (r.a, r.b, r.d) == ("two\nthree", r.c, None)
+    assert (r.a, r.b, r.d) == ("two\nthree\r\n", r.c, None)
     r = spark.range(1).select(text.percent(F.lit(1), F.lit(8)).alias("p"), text.percent(F.lit(0), F.lit(0)).alias("z"), text.code(F.lit(7)).alias("c"), text.code(F.lit(123)).alias("d"), text.html_escape(F.lit('a<"&')).alias("h")).first()
     assert tuple(r) == (13, 0, "A07", "A123", "a&lt;&quot;&amp;")
     r = spark.createDataFrame([("by\n  sorry\n", "x := by sorry", "no axioms")], "a string, b string, c string").select(text.placeholders(F.col("a")).alias("a"), text.placeholders(F.col("b")).alias("b"), text.placeholders(F.col("c")).alias("c")).first()
@@ -81,3 +91,24 @@ def test_revisions_and_versions(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     revisions.log(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_reports_and_exit_states(spark):
+    make = lambda ddl, rows=(): spark.createDataFrame(list(rows), ddl)
+    statements = lambda rows: make("id string, source_anchors array<string>, logical_form struct<hypotheses:array<string>>", rows)
+    steps = make("id string, inputs array<string>, outputs array<string>, source_anchors array<string>, verification_records array<string>, active_assumptions array<string>", [("t", ["a"], ["b"], ["x"], ["v"], ["a"])])
+    contract = "id string, statement string, accepted boolean, lifecycle_status string, assumptions array<string>, imports array<struct<contract:string,status:string>>, blockers array<string>"
+    foundations, blocker, ids = make("statement_id string", [("f",)]), "id string, status string", lambda *x: make("id string", [(i,) for i in x])
+
+    def run(s, contracts, blockers, nodes, edges):
+        return validate.report(validate.integrity(statements(s), foundations, steps, make(contract, contracts), make(blocker, blockers), ids("x"), ids("v"), ids(*nodes), make("src string, dst string, step string", edges)))
+
+    good = [("a", ["x"], (["b"],)), ("b", [], None)]
+    fine = run(good, [("c", "b", True, "VERIFIED", ["free text", "assumption:1"][:1], [("f", "ACCEPTED")], [])], [("k", "RESOLVED")], ["a", "b"], [("a", "b", "t")])
+    assert sorted(map(tuple, fine.collect())) == [("release gate", "PASSED", 0), ("verdict", "PASSED", 0)] and validate.exit_state(fine, strict=True) == 0
+    warned = run(good, [("c", "b", False, "DRAFT", [], [], [])], [("k", "OPEN")], ["a", "b"], [("a", "b", "t")])
+    assert {(r.rule, r.severity, r.n) for r in warned.collect()} >= {("verdict", "PASSED", 0), ("release gate", "BLOCKED", 2)} and (validate.exit_state(warned), validate.exit_state(warned, strict=True)) == (0, 1)
+    bad = run([("a", ["y"], (["z"],)), ("b", [], None)], [("c", "q", True, "DRAFT", ["assumption:1"], [("g", "ACCEPTED")], ["m"])], [], ["a", "b", "w"], [("b", "a", "t"), ("a", "b", "u"), ("a", "n", "t")])
+    got = {r.rule: r.n for r in bad.collect()}
+    names = "unknown source anchor,unknown hypothesis,unknown exported statement,unknown assumption,unknown import,unknown blocker,lifecycle,unknown node,undeclared endpoint,unknown step".split(",")
+    assert all(got[x] == 1 for x in names) and got["edge and step disagree"] == 2 and got["cycle"] == 3 and validate.exit_state(bad) == 1

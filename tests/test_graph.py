@@ -58,16 +58,34 @@ def test_assembly(spark):
 
 
 def node_table(spark, rows):
-    return spark.createDataFrame(rows, "id long, external string, blocker_ids array<long>, review long")
+    return spark.createDataFrame(rows, "id long, external string, blocker_ids array<long>, binding string")
 
 
 def test_query_state_never_promotes(spark):
-    nodes = node_table(spark, [(1, "NOT_APPLICABLE", [], 0), (2, "SOURCE_FOUND_AND_VERIFIED", [], 0)])
+    nodes = node_table(spark, [(1, "NOT_APPLICABLE", [], "NOT_APPLICABLE"), (2, "SOURCE_FOUND_AND_VERIFIED", [], "EXISTING_PROJECT_DECLARATIONS")])
     target = ids(spark, [2])
     for disposition, want in (("CANDIDATE", "NOT EVALUABLE"), ("ACCEPTED", "TRUE")):
         e = spark.createDataFrame([(1, 2, disposition)], "src long, dst long, disposition string")
         r = state.query_state(target, nodes, e).first()
         assert (r.dag_complete, r.verification_closed, r.closure_nodes, r.closure_edges) == (want, "NOT ESTABLISHED", 2, 1)
-    nodes = node_table(spark, [(1, "BLOCKING_UNRESOLVED_CLAIM", [7, 7], 0), (2, "NOT_APPLICABLE", [7], 0)])
+    nodes = node_table(spark, [(1, "BLOCKING_UNRESOLVED_CLAIM", [7, 7], None), (2, "NOT_APPLICABLE", [7], None)])
     r = state.query_state(target, nodes, e).first()
     assert (r.dag_complete, r.verification_closed, r.blocker_refs, r.blockers) == ("FALSE", "FALSE", 3, 1)
+
+
+def test_long_chains_and_reduction_with_cycles(spark):
+    n = 260
+    e = edge_table(spark, [(k, k + 1) for k in range(n)])
+    got = graph.closure(e, ids(spark, [n])).collect()
+    assert {(r.id, r.depth) for r in got} == {(k, n - k) for k in range(n + 1)}
+    # 1 -> 4 is passed by 1 -> 2 -> 4; in the cycle 5, 6 each edge from outside is passed through the other
+    e = edge_table(spark, [(1, 2), (2, 4), (1, 4), (5, 6), (6, 5), (3, 5), (3, 6), (7, 8)])
+    assert {tuple(r) for r in graph.redundant_edges(e).collect()} == {(1, 4), (3, 5), (3, 6)}
+
+
+def test_ranks_without_one_task(spark):
+    from stemma.operators.registry import ranked
+
+    rows = spark.createDataFrame([(f"k{x:04}", x) for x in random.Random(2).sample(range(3000), 1000)], "key string, x long")
+    got = {r.key: r.rank for r in ranked(rows, "key", "rank").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(got), 1)}
