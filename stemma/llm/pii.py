@@ -3,7 +3,7 @@
 Only DataFrame functions are used. One pattern finds the entities; a text is split by it, and put together again with a surrogate
 for each match, in place. A surrogate is a function of the key and the entity alone, so that one entity has one
 surrogate throughout the corpus without any exchange. Numbers go through a keyed permutation of all numbers of their
-length (a Feistel network over SHA-256), so two never get the same; card and account numbers get a right check digit. Other
+length (a Feistel network over SHA-256), so two never get the same; card numbers keep whether their check digit is right, account numbers get a right one. Other
 entities are written anew character by character, within the class of each.
 
 All distinct entities are checked once: a surrogate that two entities share, or that is itself an entity of the corpus, is
@@ -316,7 +316,7 @@ def persons(text: Column) -> Column:
 
 
 def kind_of(hit: Column, before: Column) -> Column:
-    """The type of a match, by what is before it and its shape; null for what only looks like a card's number."""
+    """The type of a match, by what is before it and its shape."""
     return (
         F.when(before.rlike(f"{_BEHIND_KEY}$") & hit.rlike(r"^[A-Za-z0-9+/_\-]{8,}$"), "secret")
         .when(hit.contains("@"), "email")
@@ -324,7 +324,7 @@ def kind_of(hit: Column, before: Column) -> Column:
         .when(hit.rlike("^[0-9A-Fa-f]*:[0-9A-Fa-f:]*$"), "ipv6")
         .when(hit.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(hit.rlike(rf"^(?:{PATTERNS['phone']})$"), "phone")
-        .when(hit.rlike(r"^\d(?:[ \-]?\d){12,18}$"), F.when(_valid(_digits(hit)), "card"))
+        .when(hit.rlike(r"^\d(?:[ \-]?\d){12,18}$"), "card")
         .when(hit.rlike(rf"^(?:{_FORMS})$"), "secret")
         .when(hit.rlike(r"^[A-Z]{2}\d{2}[ 0-9A-Z]+$"), "iban")
         .when(hit.rlike(r"^[\p{L}'’ \-]+$"), "name")
@@ -332,11 +332,6 @@ def kind_of(hit: Column, before: Column) -> Column:
     )
 
 
-def _valid(digits: Column) -> Column:
-    """Whether the last digit is the check digit of the others."""
-    return F.substring(digits, F.length(digits), F.lit(1)).cast("int") == _luhn(F.substring(digits, F.lit(1), F.length(digits) - 1))
-
-
 def normal(kind: Column, text: Column) -> Column:
     """What makes two mentions one entity: digits of numbers, letters in any case."""
     return F.when(kind.isin("phone", "card", "ssn"), _digits(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit(""))).otherwise(F.lower(text))
@@ -400,7 +395,7 @@ def _entities(rows: DataFrame, hits: str, who: str, *keep: str) -> DataFrame:
 
     A name that stands for a man here and a woman there is two entities.
     """
-    each = rows.select(*keep, who, F.explode(F.array_distinct(hits)).alias("h")).where("h.kind is not null").select(*keep, who, "h.kind", "h.hit")
+    each = rows.select(*keep, who, F.explode(F.array_distinct(hits)).alias("h")).select(*keep, who, "h.kind", "h.hit")
     each = each.select(*keep, who, "kind", F.explode(F.when(F.col("kind") == "name", F.split("hit", " ")).otherwise(F.array("hit"))).alias("hit"))
     told = F.when(F.col("kind") == "name", F.get(F.filter(who, lambda x: F.lower(x["token"]) == F.lower(F.col("hit"))), F.lit(0)))
     each = each.select(*keep, "kind", "hit", told.alias("told"))
@@ -451,7 +446,7 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     key (else that of the session) keeps surrogates from being recomputed by others; one key gives one mapping. Null texts stay null,
     empty ones empty; both have no entity. Repeated rows and rows without an id are rewritten alike. Other columns stay as they are.
     Entities are found in whole texts, whatever their length; an empty table gives an empty result. Digits in the shape of a card's number
-    are one only if their check digit is right.
+    count as one whether their check digit is right or not, and keep which it is.
 
     Texts are searched once: what is found is written to the shared folder, and both the check for collisions and the result read that.
     """
@@ -459,8 +454,6 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
     names = [c for c in docs.columns if c != "n_entities"]
     who, hits, gaps, again, row = (fresh(docs, x) for x in ("who", "hits", "gaps", "again", "row"))
     rows = _matched(docs.select(*[f"`{c}`" for c in names]), "text", who, hits, gaps)
-    real = F.size(F.filter(hits, lambda h: h["kind"].isNotNull()))
-    rows = rows.withColumn(hits, F.when(real > 0, F.col(hits)).otherwise(F.array().cast(rows.schema[hits].dataType))).withColumn(gaps, F.when(real > 0, F.col(gaps)))
     # a text with entities is what is found and what lies between
     rows = materialize(rows.withColumn("text", F.when(F.size(hits) == 0, F.col("text"))), "found")
     settled = attempts(rows, hits, who, key)
@@ -480,13 +473,13 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
             return surrogate(t, F.lit("name"), F.col(who), at(F.concat_ws(":", F.lit("name"), F.lower(t), told["given"].cast("string"), told["female"].cast("string"))))
 
         plain = surrogate(hit, kind, F.col(who), at(F.concat_ws(":", kind, normal(kind, hit))))
-        return F.when(kind.isNull(), hit).when(kind == "name", F.array_join(F.transform(F.split(hit, " "), part), " ")).otherwise(plain)
+        return F.when(kind == "name", F.array_join(F.transform(F.split(hit, " "), part), " ")).otherwise(plain)
 
     between = F.col(gaps)
     new = F.array_join(F.flatten(F.transform(hits, lambda h, i: F.array(F.get(between, i), one(h)))), "")
     text = F.when(F.size(hits) > 0, F.concat(new, F.get(between, F.size(hits)))).otherwise(F.col("text"))
     order = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in names]
-    return rows.select(*order, F.size(F.filter(hits, lambda h: h["kind"].isNotNull())).cast("long").alias("n_entities"))
+    return rows.select(*order, F.size(hits).cast("long").alias("n_entities"))
 
 
 def _with_attempts(rows: DataFrame, settled: DataFrame, hits: str, who: str, again: str, row: str) -> DataFrame:
