@@ -12,7 +12,7 @@ __all__ = ["bound_arrow", "discard", "fresh", "materialize", "remove", "shared_p
 
 #: Rows and bytes of one Arrow batch between the JVM and Python, so that long texts don't add up to a large batch.
 ARROW_ROWS = 512
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 8 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
