@@ -211,8 +211,15 @@ def respaced(template: Column, plain: Column) -> Column:
     return F.aggregate(F.split(template, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda s: s["out"])
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is one node of the plan however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _pick(letters: str | list[str], n: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, letters)), F.pmod(n, F.lit(len(letters))).cast("int") + 1)
+    if isinstance(letters, str):
+        return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))).cast("int") + 1, F.lit(1))
+    return F.element_at(F.split(F.lit(" ".join(letters)), " "), F.pmod(n, F.lit(len(letters))).cast("int") + 1)
 
 
 def _stream(seed: Column, i: Column) -> Column:
@@ -222,20 +229,26 @@ def _stream(seed: Column, i: Column) -> Column:
 def rewritten(text: Column, seed: Column, hexadecimal: Column) -> Column:
     """Each letter and digit becomes another of its class and script; all else stays."""
 
-    def one(c: Column, i: Column) -> Column:
-        n = _stream(seed, i)
-        low, up = F.lower(c) == c, F.upper(c) != F.lower(c)
-        cased: Callable[[str], Column] = lambda letters: F.when(low, _pick(letters, n)).otherwise(F.upper(_pick(letters, n)))
-        return (
-            F.when(hexadecimal, F.when(text == F.upper(text), F.upper(_pick(HEX, n))).otherwise(_pick(HEX, n)))
-            .when(c.rlike("^[0-9]$"), _pick(DIGITS, n))
-            .when(up & c.rlike("^[A-Za-z]$"), cased(LOWER))
-            .when(~c.rlike(r"^[\p{L}\p{N}]$"), c)
-            .when(c.rlike(r"^\p{N}$"), _pick(DIGITS, n))
-            .otherwise(F.coalesce(*[F.when(c.rlike(rf"^\p{{Is{script}}}$"), cased(letters) if script in ("Cyrillic", "Greek") else _pick(letters, n)) for script, letters in SCRIPTS.items()], cased(LOWER)))
-        )
+    def one(c: Column, i: Column, seed: Column, whole: Column) -> Column:
+        def of(n: Column) -> Column:
+            low, up = F.lower(c) == c, F.upper(c) != F.lower(c)
+            cased: Callable[[str], Column] = lambda letters: _let(_pick(letters, n), lambda x: F.when(low, x).otherwise(F.upper(x)))
+            other = [F.when(c.rlike(rf"^\p{{Is{script}}}$"), cased(letters) if script in ("Cyrillic", "Greek") else _pick(letters, n)) for script, letters in SCRIPTS.items()]
+            return (
+                F.when(whole == 1, _pick(HEX, n))
+                .when(whole == 2, _pick(HEX.upper(), n))
+                .when(c.rlike("^[0-9]$"), _pick(DIGITS, n))
+                .when(up & c.rlike("^[A-Za-z]$"), cased(LOWER))
+                .when(~c.rlike(r"^[\p{L}\p{N}]$"), c)
+                .when(c.rlike(r"^\p{N}$"), _pick(DIGITS, n))
+                .otherwise(F.coalesce(*other, cased(LOWER)))
+            )
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+        return _let(_stream(seed, i), of)
+
+    whole = F.when(~hexadecimal, 0).when(text == F.upper(text), 2).otherwise(1)
+    held = F.struct(text.alias("text"), seed.alias("seed"), whole.alias("whole"))
+    return _let(held, lambda s: F.array_join(F.transform(F.split(s["text"], ""), lambda c, i: one(c, i, s["seed"], s["whole"])), ""))
 
 
 def email(text: Column, key: Column) -> Column:
@@ -264,20 +277,25 @@ def _sign(first: int, count: int, n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(F.lit(first) + F.pmod(n, F.lit(count))), 4, "0")), "UTF-16BE")
 
 
-def _name(token: Column, key: Column, given: Column, female: Column) -> Column:
+def _name(token: Column, key: Column, told: Column) -> Column:
     """A made-up name: syllables of the script, and an ending that tells the gender where names have one."""
+    given, female = F.coalesce(told["given"], F.lit(False)), F.coalesce(told["female"], F.lit(False))
     seed = F.concat_ws("|", key, F.lower(token), F.when(given, F.lit("g")).otherwise(F.lit("f")), female.cast("string"))
-    last = _stream(seed, F.lit(9))
+    return _let(F.struct(token.alias("token"), given.alias("given"), female.alias("female"), F.sha2(seed, 256).alias("digest")), lambda s: _named(s["token"], s["given"], s["female"], s["digest"]))
+
+
+def _named(token: Column, given: Column, female: Column, digest: Column) -> Column:
+    at = lambda k: F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("long")
 
     def build(script: str, endings: dict[tuple[bool, bool], list[str]]) -> Column:
         head, vowels = SYLLABLES[script]
-        body = F.concat(*[x for k in range(3) for x in (_pick(head, _stream(seed, F.lit(2 * k))), _pick(vowels, _stream(seed, F.lit(2 * k + 1))))])
-        end = F.when(given, F.when(female, _pick(endings[True, True], last)).otherwise(_pick(endings[True, False], last))).otherwise(F.when(female, _pick(endings[False, True], last)).otherwise(_pick(endings[False, False], last)))
+        body = F.concat(*[x for k in range(3) for x in (_pick(head, at(2 * k)), _pick(vowels, at(2 * k + 1)))])
+        end = F.when(given, F.when(female, _pick(endings[True, True], at(9))).otherwise(_pick(endings[True, False], at(9)))).otherwise(F.when(female, _pick(endings[False, True], at(9))).otherwise(_pick(endings[False, False], at(9))))
         return F.initcap(F.concat(body, end))
 
     def signs(families: str, first: int, count: int, women: str, men: str) -> Column:
         """A family name, any sign of the script, and one that women's or men's names end in."""
-        return F.concat(_pick(families, _stream(seed, F.lit(0))), _sign(first, count, _stream(seed, F.lit(1))), F.when(female, _pick(women, last)).otherwise(_pick(men, last)))
+        return F.concat(_pick(families, at(0)), _sign(first, count, at(1)), F.when(female, _pick(women, at(9))).otherwise(_pick(men, at(9))))
 
     same = ["ner", "son", "ton", "man", "sen", "berg"]
     latin = build("latin", {(True, True): ["na", "lia", "elle", "ine"], (True, False): ["n", "rus", "do", "bert"], (False, True): same, (False, False): same})
@@ -288,7 +306,7 @@ def _name(token: Column, key: Column, given: Column, female: Column) -> Column:
     hangul = signs("김이박최정강조윤장임", 0xAC00, 11172, "희은영미", "호수철준")
     new = F.when(token.rlike(r"\p{IsCyrillic}"), cyrillic).when(token.rlike(r"\p{IsGreek}"), greek).when(token.rlike(r"\p{IsArabic}"), arabic)
     new = new.when(token.rlike(r"\p{IsHan}"), han).when(token.rlike(r"\p{IsHangul}"), hangul).otherwise(latin)
-    return F.when((token == F.upper(token)) & (token != F.lower(token)) & (F.length(token) > 1), F.upper(new)).otherwise(new)
+    return _let(new, lambda x: F.when((token == F.upper(token)) & (token != F.lower(token)) & (F.length(token) > 1), F.upper(x)).otherwise(x))
 
 
 def persons(text: Column) -> Column:
@@ -337,24 +355,29 @@ def normal(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("phone", "card", "ssn"), _digits(text)).when(kind == "iban", F.replace(text, F.lit(" "), F.lit(""))).otherwise(F.lower(text))
 
 
-def surrogate(hit: Column, kind: Column, who: Column, key: Column) -> Column:
-    """who: the persons of the text."""
+def surrogate(hit: Column, kind: Column, key: Column) -> Column:
+    """That of an entity other than a name."""
 
-    def named(t: Column) -> Column:
-        p = F.get(F.filter(who, lambda x: F.lower(x["token"]) == F.lower(t)), F.lit(0))
-        return _name(t, F.concat(key, F.lit("|name")), F.coalesce(p["given"], F.lit(False)), F.coalesce(p["female"], F.lit(False)))
+    def of(s: Column) -> Column:
+        hit, kind, key = s["hit"], s["kind"], s["key"]
+        with_ = lambda name: F.concat(key, F.lit("|" + name))
+        return (
+            F.when(kind == "email", email(hit, with_("email")))
+            .when(kind == "ip", ip(hit, with_("ip")))
+            .when(kind == "ipv6", ipv6(hit, with_("ipv6")))
+            .when(kind == "iban", iban(hit, with_("iban")))
+            .when(kind == "ssn", refilled(hit, permuted(_digits(hit), with_("ssn"))))
+            .when(kind == "phone", phone(hit, with_("phone")))
+            .when(kind == "card", card(hit, with_("card")))
+            .otherwise(secret(hit, with_("secret")))
+        )
 
-    return (
-        F.when(kind == "email", email(hit, F.concat(key, F.lit("|email"))))
-        .when(kind == "ip", ip(hit, F.concat(key, F.lit("|ip"))))
-        .when(kind == "ipv6", ipv6(hit, F.concat(key, F.lit("|ipv6"))))
-        .when(kind == "iban", iban(hit, F.concat(key, F.lit("|iban"))))
-        .when(kind == "ssn", refilled(hit, permuted(_digits(hit), F.concat(key, F.lit("|ssn")))))
-        .when(kind == "phone", phone(hit, F.concat(key, F.lit("|phone"))))
-        .when(kind == "card", card(hit, F.concat(key, F.lit("|card"))))
-        .when(kind == "name", F.array_join(F.transform(F.split(hit, " "), named), " "))
-        .otherwise(secret(hit, F.concat(key, F.lit("|secret"))))
-    )
+    return _let(F.struct(hit.alias("hit"), kind.alias("kind"), key.alias("key")), of)
+
+
+def name_surrogate(token: Column, told: Column, key: Column) -> Column:
+    """That of a part of a name, of which told says whether it is given and whether a woman's."""
+    return _name(token, F.concat(key, F.lit("|name")), told)
 
 
 ALL = "|".join(p.replace(r"\1", r"\k<sep>").replace("([ \\-])", "(?<sep>[ \\-])") for p in PATTERNS.values())
@@ -412,7 +435,8 @@ def attempts(rows: DataFrame, hits: str, who: str, key: str) -> DataFrame | None
     for turn in range(ATTEMPTS):
         state = first.withColumn("attempt", F.lit(0)) if settled is None else first.join(settled, "entity", "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
         state = state.repartition(parts) if parts > 1 else state
-        tried = state.withColumn("new", surrogate(F.col("hit"), F.col("kind"), F.array("told"), F.concat(F.lit(key), F.col("attempt").cast("string"))))
+        tries = F.concat(F.lit(key), F.col("attempt").cast("string"))
+        tried = state.withColumn("new", F.when(F.col("kind") == "name", name_surrogate(F.col("hit"), F.col("told"), tries)).otherwise(surrogate(F.col("hit"), F.col("kind"), tries)))
         tried = tried.select("entity", "attempt", F.concat_ws(":", "kind", normal(F.col("kind"), F.col("new"))).alias("out"), F.concat_ws(":", "kind", normal(F.col("kind"), F.col("hit"))).alias("own"))
         tried = materialize(tried, "surrogates")
         # of several with one surrogate the least keeps it, unless it is an entity itself
@@ -470,9 +494,9 @@ def replace(docs: DataFrame, key: str | None = None) -> DataFrame:
 
         def part(t: Column) -> Column:
             told = F.get(F.filter(who, lambda x: F.lower(x["token"]) == F.lower(t)), F.lit(0))
-            return surrogate(t, F.lit("name"), F.col(who), at(F.concat_ws(":", F.lit("name"), F.lower(t), told["given"].cast("string"), told["female"].cast("string"))))
+            return _let(told, lambda p: name_surrogate(t, p, at(F.concat_ws(":", F.lit("name"), F.lower(t), p["given"].cast("string"), p["female"].cast("string")))))
 
-        plain = surrogate(hit, kind, F.col(who), at(F.concat_ws(":", kind, normal(kind, hit))))
+        plain = surrogate(hit, kind, at(F.concat_ws(":", kind, normal(kind, hit))))
         return F.when(kind == "name", F.array_join(F.transform(F.split(hit, " "), part), " ")).otherwise(plain)
 
     between = F.col(gaps)
