@@ -87,6 +87,38 @@ def signed_l1_by_graph(rows: DataFrame) -> DataFrame:
     return rows.groupBy("graph").applyInPandas(solve, f"graph {kind}, value double, certified boolean")
 
 
+def clique_cover(cliques: np.ndarray, weights: np.ndarray, tol: float = 1e-8) -> tuple[float, bool]:
+    """The least weight of cliques (rows of 0 and 1) that gives each vertex its weight, and whether the dual proves it."""
+    need = np.maximum(weights, 0.0)
+    a = np.hstack([cliques.T, -np.eye(len(need))])
+    got = simplex(a, need, np.concatenate([np.ones(len(cliques)), np.zeros(len(need))]))
+    if got is None:
+        raise ValueError("a vertex is in no clique")
+    value, x, y = got
+    sound = (y >= -tol).all() and (cliques @ y <= 1 + tol).all() and abs(need @ y - value) <= tol * max(1.0, abs(value))
+    return value, bool(sound and (a @ x >= need - tol).all())
+
+
+def clique_cover_by_graph(sets: DataFrame) -> DataFrame:
+    """sets: graph, cliques (array of masks, every vertex in one at least), weights (array, by vertex). Gives graph, value, certified."""
+
+    def solve(pdf):
+        import pandas as pd
+
+        out = []
+        for r in pdf.itertuples(index=False):
+            w = np.array(r.weights, dtype=float)
+            masks = sorted({int(m) for m in r.cliques if m})
+            masks = [m for m in masks if not any(o != m and o & m == m for o in masks)]
+            rows = np.array([[m >> v & 1 for v in range(len(w))] for m in masks], dtype=float)
+            out.append((r.graph, *clique_cover(rows, w)))
+        return pd.DataFrame(out, columns=["graph", "value", "certified"])
+
+    ship(sets.sparkSession)
+    kind = dict(sets.dtypes)["graph"]
+    return sets.groupBy("graph").applyInPandas(solve, f"graph {kind}, value double, certified boolean")
+
+
 def chromatic(adjacent: list[int], within: int) -> int:
     """The least number of colours for the vertices of a mask, by search, those of most neighbours first."""
     vs = sorted((v for v in range(len(adjacent)) if within >> v & 1), key=lambda v: (-bin(adjacent[v] & within).count("1"), v))

@@ -176,4 +176,16 @@ def family(name: str, n: int) -> list[str]:
     if name == "jw":
         out = [place(**{f"q{j}": "Z" for j in range(k)}, **{f"q{k}": c}) for k in range(n) for c in "XY"]
         return [*out, "Z" * n]
+    if name == "tree":
+        # products of two strings of jw, the first with d others and those with r more; signs and phases don't count here
+        jw, d, r = family("jw", n), 3 * n // 2, (n + 1) // 2 - 1
+        product = lambda a, b: "".join("I" if p == q else p if q == "I" else q if p == "I" else "XYZ".replace(p, "").replace(q, "") for p, q in zip(jw[a], jw[b], strict=True))
+        return [product(0, a) for a in range(1, d + 1)] + [product(a, d + a) for a in range(1, r + 1)]
     raise ValueError(name)
+
+
+def ceilings(vertices: DataFrame, qubits: DataFrame) -> DataFrame:
+    """graph, labels, omega, largest, capacity: the clique number, what it can be over n qubits (graph, n), and the root of it."""
+    m = vertices.groupBy("graph").agg(F.count(F.lit(1)).alias("labels"))
+    out = m.join(clique_number(vertices), "graph").join(qubits, "graph")
+    return out.select("graph", "labels", "omega", (2 * F.col("n") + 1).alias("largest"), F.sqrt(F.col("omega").cast("double")).alias("capacity"))

@@ -20,3 +20,42 @@ EDGE_TYPES = ("scientific_claim_dependency", "definition_dependency", "scope_dep
 PASSING = ("PASSED", "KERNEL_CHECKED", "HUMAN_REVIEWED", "REPRODUCED")
 CLOSED = ("VERIFIED", "VERIFICATION_CLOSED")
 APPROXIMATION = ("exact_parent", "approximation_map", "control_parameters", "error_model", "validity_regime", "propagates_to")
+AXIOMS = ("propext", "Classical.choice", "Quot.sound")
+CHANGES = ("confirm_edge", "reject_edge", "mark_redundant", "replace_by_reuse", "introduce_bridge", "merge_interfaces", "split_node", "expand_premise")
+STOP_REASONS = (
+    "PRIMARY_SOURCE_REACHED",
+    "FORMAL_CORE_SELF_CONTAINED",
+    "STANDARD_BACKGROUND_ACCEPTED",
+    "FURTHER_EXPANSION_OUT_OF_SCOPE",
+    "SOURCE_UNAVAILABLE",
+    "FORMALIZATION_COST_EXCEEDS_PILOT",
+    "EMPIRICAL_INPUT_TREATED_AS_EXTERNAL",
+)
+# Each state and those that may follow it.
+NODE_MACHINE = {
+    "ORACLE_PROPOSED": ("NORMALIZED",),
+    "NORMALIZED": ("SOURCE_ALIGNED", "SOURCE_UNAVAILABLE"),
+    "SOURCE_ALIGNED": ("FORMALLY_STATED",),
+    "SOURCE_UNAVAILABLE": ("FORMALLY_STATED", "KERNEL_CHECKED"),
+    "FORMALLY_STATED": ("KERNEL_CHECKED",),
+    "KERNEL_CHECKED": ("AUDITED",),
+    "AUDITED": ("REUSABLE_CONTRACT",),
+}
+EDGE_SIDE = ("CONDITIONAL", "REJECTED", "REDUNDANT_IN_QUERY_VIEW", "BLOCKED", "DISPUTED")
+EDGE_MACHINE = {
+    "ORACLE_PROPOSED": ("SCHEMA_VALID", *EDGE_SIDE),
+    "SCHEMA_VALID": ("RETRIEVAL_SUPPORTED", *EDGE_SIDE),
+    "RETRIEVAL_SUPPORTED": ("SOURCE_ALIGNED", *EDGE_SIDE),
+    "SOURCE_ALIGNED": ("LEAN_SUPPORTED", *EDGE_SIDE),
+    "LEAN_SUPPORTED": ("ACCEPTED", *EDGE_SIDE),
+    "ACCEPTED": EDGE_SIDE,
+}
+FORMAL_MACHINE = {
+    "UNFORMALIZED": ("TYPE_STATED",),
+    "TYPE_STATED": ("SEARCHED",),
+    "SEARCHED": ("PROOF_CANDIDATE",),
+    "PROOF_CANDIDATE": ("KERNEL_CHECKED",),
+    "KERNEL_CHECKED": ("AXIOM_AUDITED",),
+    "AXIOM_AUDITED": ("STATEMENT_ALIGNED",),
+    "STATEMENT_ALIGNED": ("REUSABLE_CONTRACT",),
+}
