@@ -219,12 +219,12 @@ def binding_report(t: Tables) -> DataFrame:
     return validate.report(review.binding_gates(bindings, declared))
 
 
-@query(summed("""p AS (SELECT p_partkey AS k, p_size AS s FROM part),
- r AS (SELECT 'missing id' AS rule, 'error' AS severity, count(*) AS n FROM p WHERE s = 50 UNION ALL SELECT 'duplicate id', 'error', count(*) FROM (SELECT CASE WHEN s = 49 THEN k // 100 ELSE k + 1000000 END AS i FROM p WHERE s <> 50 GROUP BY 1 HAVING count(*) > 1)
+@query(summed("""p AS (SELECT p_partkey AS k, p_size AS s, CASE WHEN p_size = 49 THEN p_partkey // 100 WHEN p_size <> 50 THEN p_partkey + 1000000 END AS i FROM part), mk AS (SELECT i FROM p WHERE s % 4 = 1 AND k % 2 = 1),
+ r AS (SELECT 'missing id' AS rule, 'error' AS severity, count(*) AS n FROM p WHERE s = 50 UNION ALL SELECT 'duplicate id', 'error', count(*) FROM (SELECT i FROM p WHERE i IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
   UNION ALL SELECT 'origin', 'error', count(*) FROM p WHERE s % 4 = 3 UNION ALL SELECT 'source anchors', 'error', count(*) FROM p WHERE s % 4 = 0 AND s % 3 = 0
   UNION ALL SELECT 'quantifiers', 'error', count(*) FROM p WHERE s % 13 = 0 UNION ALL SELECT 'domain', 'error', count(*) FROM p WHERE s % 17 = 0
   UNION ALL SELECT 'symbol', 'error', count(*) FROM p WHERE s % 5 = 0 UNION ALL SELECT 'assumption class', 'error', count(*) FROM p WHERE s % 7 = 0
-  UNION ALL SELECT 'reconstruction', 'error', count(*) FROM p WHERE s % 4 = 1 AND s <> 50 AND k % 2 = 0 UNION ALL SELECT 'unclassified', 'error', count(*) FROM p WHERE s % 11 = 0
+  UNION ALL SELECT 'reconstruction', 'error', count(*) FROM p WHERE s % 4 = 1 AND i NOT IN (SELECT i FROM mk) UNION ALL SELECT 'unclassified', 'error', count(*) FROM p WHERE s % 11 = 0
   UNION ALL SELECT 'profile', 'error', count(*) FROM p WHERE s % 6 = 0)"""))
 def decomposition_report(t: Tables) -> DataFrame:
     ids = F.when(size() == 49, F.floor(key() / 100)).when(size() != 50, key() + 1_000_000)
