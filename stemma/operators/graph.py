@@ -50,7 +50,8 @@ def descendants(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ())
 
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, level) of the nodes that come off in topological order, level being the longest path to them, and the
-    residue (id): nodes in cycles and below them. Nodes that only edges name count as well."""
+    residue (id): nodes in cycles and below them. Nodes that only edges name count as well; missing ids and edges without an end don't."""
+    nodes, edges = nodes.where("id is not null"), edges.where("src is not null and dst is not null")
     left = nodes.select("id").unionByName(edges.select(F.col("src").alias("id"))).unionByName(edges.select(F.col("dst").alias("id")))
     left, edges, done = cut(left.distinct(), "left"), cut(edges.select("src", "dst").distinct(), "edges"), None
     for level in count():  # each turn takes nodes off or ends

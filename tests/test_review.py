@@ -82,6 +82,15 @@ def test_audit_of_a_proof(spark):
     ])
 
 
+def test_proposal(spark):
+    row = lambda a, b: (a, b, "data_dependency", "r", "CANDIDATE", "ORACLE_PROPOSED", "x", "y")
+    edges = spark.createDataFrame([row("a", "b"), row("b", "c"), row("c", "b"), row("c", "z")], "src string, dst string, type string, reason string, disposition string, oracle_status string, source_alignment string, lean_support string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "id string")
+    got = {(r, i) for r, i, _ in rules(review.proposal_gates(nodes, edges))}
+    assert {("missing id", None), ("duplicate id", "c"), ("unknown target", "a>b")} & got == {("missing id", None), ("duplicate id", "c")}
+    assert {("unknown target", "c>z"), ("cycle", "b"), ("cycle", "c")} <= got and ("cycle", "a") not in got
+
+
 def test_numbers(spark):
     rows = spark.createDataFrame([(0.0, 1), (-1e-15, 1), (0.5, 1)], "v double, k int")
     assert sorted(str(r.v) for r in review.rounded(rows, 12, "v").collect()) == ["0.0", "0.5"]
