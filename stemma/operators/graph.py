@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from stemma.session import cut, ship, some
 
+#: Rows from which on a side of a loop's joins is not sent through the driver, whatever it would save.
+FEW = 1 << 17
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -23,22 +26,27 @@ def closure(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = (), keep
     new frontier that need not be followed.
     """
     keys = list(keys)
-    step = edges.select(F.col("dst").alias("id"), F.col("src").alias("__up"))
+    step = (edges if hasattr(edges, "stemma_path") else cut(edges.select("src", "dst"), "steps")).select(F.col("dst").alias("id"), F.col("src").alias("__up"))
     frontier = cut(seeds.select(*keys, "id").distinct(), "frontier")
     seen, depth = frontier.withColumn("depth", F.lit(0)), 0
+    n = total = frontier.count()
     for turn in count():  # each turn adds nodes or ends
         # several steps are one job; more of them, the longer the paths turn out to be
         hops, at, found = min(8, 2 + turn // 4), frontier, []
+        up = step.hint("merge") if n > FEW else step
         for hop in range(1, hops + 1):
-            at = at.join(step, "id").select(*keys, F.col("__up").alias("id")).distinct()
+            at = at.join(up, "id").select(*keys, F.col("__up").alias("id")).distinct()
             at = keep(at) if keep else at
             found.append(at.withColumn("depth", F.lit(depth + hop)))
         depth += hops
         new = reduce(DataFrame.unionByName, found).groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
-        new = cut(new.join(seen, [*keys, "id"], "left_anti").select(*keys, "id", "depth"), "frontier")
+        old = seen.hint("merge") if total > FEW else seen
+        new = cut(new.join(old, [*keys, "id"], "left_anti").select(*keys, "id", "depth"), "frontier")
         seen = seen.unionByName(new)
         frontier = new.where(F.col("depth") == depth).drop("depth")
-        if not some(frontier):
+        more, n = new.agg(F.count(F.lit(1)), F.count_if(F.col("depth") == depth)).first()
+        total += more
+        if not n:
             return seen
         if turn % 8 == 7:
             seen = cut(seen, "seen")

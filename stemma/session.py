@@ -34,11 +34,16 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Each value in its own bytes. Before a query runs the planner goes by the bytes of files, and of sorted ids packed files have one or two a row:
+#: it would send millions of rows through the driver.
+PLAIN = {"compression": "uncompressed", "parquet.enable.dictionary": "false"}
+
+
 def cut(df: DataFrame, tag: str = "cut", path: str | None = None) -> DataFrame:
-    """Writes df into the shared folder and reads it again: the lineage ends there."""
-    spark = df.sparkSession
+    """Writes df into the shared folder and reads it again: the lineage ends there. Without a path the files are as large as their rows."""
+    spark, options = df.sparkSession, {} if path else PLAIN
     path = path or f"{shared_dir(spark)}/stemma/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stemma_path = path
     return out

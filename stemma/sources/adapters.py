@@ -33,7 +33,8 @@ class Tables:
         k = F.col("p_partkey")
         up = F.explode(F.array_distinct(F.array(F.floor(k / 2), F.floor(k / 3))))
         e = self.part.select(up.alias("src"), k.alias("dst")).where("src < dst")
-        return e.join(self.part.select(k.alias("src")), "src", "left_semi").select("src", "dst")
+        # a column of keys takes so few bytes of a file that millions would be sent through the driver
+        return e.join(self.part.select(k.alias("src")).hint("merge"), "src", "left_semi").select("src", "dst")
 
     def typed_edges(self) -> DataFrame:
         kind = F.when(F.col("dst") % 10 == 0, "definition_dependency").when(F.col("dst") % 10 == 1, "scope_dependency").otherwise("scientific_claim_dependency")

@@ -89,3 +89,18 @@ def test_ranks_without_one_task(spark):
     rows = spark.createDataFrame([(f"k{x:04}", x) for x in random.Random(2).sample(range(3000), 1000)], "key string, x long")
     got = {r.key: r.rank for r in ranked(rows, "key", "rank").collect()}
     assert got == {k: i for i, k in enumerate(sorted(got), 1)}
+
+
+def test_many_rows_stay_out_of_the_driver(spark, monkeypatch):
+    # half a million sorted ids are a few hundred kB of packed Parquet; the planner must see what they are as rows
+    from stemma.session import cut
+
+    rows = spark.range(500_000)
+    assert cut(rows, "sized")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__int__() >= 8 * 500_000
+    e = edge_table(spark, [(k, 2 * k + i) for k in range(1, 40) for i in (0, 1)])
+    want = {(r.id, r.depth) for r in graph.descendants(e, ids(spark, range(1, 30))).collect()}
+    monkeypatch.setattr(graph, "FEW", 4)
+    hinted = []
+    plain = type(e).hint
+    monkeypatch.setattr(type(e), "hint", lambda self, *a: hinted.append(a) or plain(self, *a))
+    assert {(r.id, r.depth) for r in graph.descendants(e, ids(spark, range(1, 30))).collect()} == want and ("merge",) in hinted
