@@ -47,12 +47,13 @@ def basis(all_claims: DataFrame, steps: DataFrame, contracts: DataFrame, recursi
     with recursive, whatever has something blocked above it is blocked."""
     made = steps.select(F.explode("outputs").alias("id"), (F.col("status") == "BLOCKED").alias("b")).groupBy("id").agg(F.bool_or("b").alias("step_blocked"), F.lit(True).alias("made"))
     own = last_contract(contracts).select(F.col("statement").alias("id"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
-    rows = all_claims.join(own, "id", "left").join(made, "id", "left")
+    # all are dealt out by id already, so merging them is no exchange more; estimates would have them sent through the driver
+    rows = all_claims.join(own.hint("merge"), "id", "left").join(made.hint("merge"), "id", "left")
     out = rows.select("id", _ladder(F.coalesce("made", F.lit(False)), F.coalesce("step_blocked", F.lit(False))).alias("basis"))
     if not recursive:
         return out
     below = reachable_blocked(step_edges(steps), out.where("basis = 'BLOCKED'").select("id")).withColumn("below", F.lit(True))
-    return out.join(below, "id", "left").select("id", F.when(F.col("below"), "BLOCKED").otherwise(F.col("basis")).alias("basis"))
+    return out.join(below.hint("merge"), "id", "left").select("id", F.when(F.col("below"), "BLOCKED").otherwise(F.col("basis")).alias("basis"))
 
 
 def step_edges(steps: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ class Tables:
         origin = F.when(s % 3 == 0, "SOURCE_EXPLICIT").when(s % 3 == 1, "COMPUTATIONALLY_REPRODUCED").otherwise("AGENT_INFERRED")
         statements = self.part.select(k.alias("id"), F.col("p_type").alias("kind"), F.when(s % 13 == 0, "").otherwise(F.col("p_name")).alias("text"), origin.alias("origin"), F.struct(F.array(F.concat(F.lit("assumption:h"), (k % 5).cast("string"))).alias("hypotheses")).alias("logical_form"), F.array(k % 30).alias("source_anchors"))
         foundations = self.part.where(s % 11 == 0).select(k.alias("statement_id"), F.lit("foundation").alias("kind"), F.col("p_brand").alias("statement"), F.when(s % 2 == 0, "UNCHECKED").otherwise("CHECKED").alias("source_fidelity"))
-        some = self.part.where((s % 2 == 0) & (k % 3 != 0)).join(self.edges().withColumnRenamed("dst", "p_partkey").groupBy("p_partkey").agg(F.sort_array(F.collect_list("src")).alias("inputs")), "p_partkey")
+        some = self.part.where((s % 2 == 0) & (k % 3 != 0)).hint("merge").join(self.edges().withColumnRenamed("dst", "p_partkey").groupBy("p_partkey").agg(F.sort_array(F.collect_list("src")).alias("inputs")), "p_partkey")
         steps = some.select(
             (k + 1_000_000).alias("id"), "inputs", F.array(k).alias("outputs"), F.when(s % 10 == 0, "BLOCKED").otherwise("PARTIALLY_VERIFIED").alias("status"),
             F.array(F.concat(F.lit("assumption:"), (k % 17).cast("string"))).alias("active_assumptions"), F.array(k % 50, k % 7).alias("verification_records"), F.array(k % 27).alias("source_anchors"),

@@ -104,3 +104,13 @@ def test_many_rows_stay_out_of_the_driver(spark, monkeypatch):
     plain = type(e).hint
     monkeypatch.setattr(type(e), "hint", lambda self, *a: hinted.append(a) or plain(self, *a))
     assert {(r.id, r.depth) for r in graph.descendants(e, ids(spark, range(1, 30))).collect()} == want and ("merge",) in hinted
+
+
+def test_estimates_send_no_table_to_the_driver(spark):
+    # here all tables are small and would be broadcast if the planner were left to go by their files, as those of millions of parts were
+    from stemma.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    b, planned = t.bundle(), lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    for df in (t.edges(), state.step_edges(b.steps), b.basis()):
+        assert "BroadcastHashJoin" not in planned(df)
