@@ -162,7 +162,7 @@ def compared(reported: Column, again: Column, tolerance: Column) -> Column:
 
 def inherited(edges: DataFrame, approximate: DataFrame, removed: DataFrame) -> DataFrame:
     """source, id: claims that inherit the approximation of a source (id), itself included; those of removed (id) end it."""
-    on = edges.join(removed.select(F.col("id").alias("dst")), "dst", "left_anti")
+    on = edges.join(removed.select(F.col("id").alias("dst")).hint("merge"), "dst", "left_anti")
     return descendants(on, approximate.select(F.col("id").alias("source"), "id"), ("source",)).select("source", "id")
 
 
