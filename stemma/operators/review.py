@@ -77,7 +77,7 @@ def reuse_gates(receipts: DataFrame, changed: DataFrame, edges: DataFrame) -> Da
     """
     wrong = lambda c: ~F.coalesce(F.col(c), F.lit(False))
     conditions = {"statement": "statement_ok", "assumptions": "assumptions_ok", "version": "version_ok", "environment": "environment_ok", "verification": "verified"}
-    stale = receipts.join(descendants(edges, changed).select("id").distinct(), "id", "left_semi")
+    stale = receipts.join(descendants(edges, changed).select("id").distinct().hint("merge"), "id", "left_semi")
     return together(
         *[violation(receipts.where(wrong(c)), rule, "id") for rule, c in conditions.items()],
         violation(receipts.where(F.coalesce("blocked", F.lit(True))), "blocked", "id"),
