@@ -127,7 +127,7 @@ def closure_sizes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def preferred(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """owner, id, size: per owner the node with the largest closure, the smallest id of equals."""
     rank = Window.partitionBy("owner").orderBy(F.col("size").desc(), "id")
-    sized = nodes.select("id", "owner").join(closure_sizes(edges, nodes), "id")
+    sized = nodes.select("id", "owner").hint("merge").join(closure_sizes(edges, nodes), "id")
     return sized.withColumn("k", F.row_number().over(rank)).where("k = 1").select("owner", "id", "size")
 
 
