@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemma.session import ship
+
 K1, B = 1.2, 0.75
 
 
@@ -38,16 +42,66 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+def _matrix(rows):
+    """Ids, vectors as doubles and which of them can be compared, of an Arrow array of structs (id, v); the length is that of most."""
+    import numpy as np
+
+    ids, vs = rows.field(0).to_numpy(zero_copy_only=False), rows.field(1)
+    sizes = np.array([-1 if n is None else n for n in vs.value_lengths().to_pylist()], np.int64)
+    d = int(np.bincount(sizes[sizes >= 0]).argmax()) if (sizes >= 0).any() else 0
+    if (sizes == d).all() and not vs.flatten().null_count:
+        return ids, vs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d), np.ones(len(ids), bool)
+    lists = vs.to_pylist()
+    ok = np.array([v is not None and len(v) == d and None not in v for v in lists])
+    return ids, np.array([v if good else [0.0] * d for v, good in zip(lists, ok, strict=True)], np.float64).reshape(-1, d), ok
+
+
+def _nearest(batches, k: int):
+    """Rows (qs, vs) are a block of queries and one of vectors: the pairs that can be among a query's best k, with their cosine."""
+    import numpy as np
+    import pyarrow as pa
+
+    def dot(x, y):  # term by term, as cosine() adds
+        return np.add.accumulate(x * y, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+
+    for batch in batches:
+        for n in range(batch.num_rows):
+            (qi, q, q_ok), (vi, v, v_ok) = (_matrix(batch.column(c)[n].values) for c in (0, 1))
+            if q.shape[1] != v.shape[1]:
+                q, v, q_ok, v_ok = q[:, :0], v[:, :0], q_ok & False, v_ok & False
+            with np.errstate(all="ignore"):
+                near = (q @ v.T) / np.sqrt(np.einsum("ij,ij->i", q, q)[:, None] * np.einsum("ij,ij->i", v, v))
+            other, sure = qi[:, None] != vi[None, :], q_ok[:, None] & v_ok[None, :]
+            known = np.where(other & sure & np.isfinite(near), near, -np.inf)
+            # equal when rounded to six digits, they are told apart by id: so all that are as near as the k-th, and a little beyond
+            least = np.partition(known, -k, axis=1)[:, -k] if known.shape[1] > k else np.full(len(qi), -np.inf)
+            i, j = np.nonzero(other & ((known >= least[:, None] - 4e-6) & (known > -np.inf) | ~(sure & np.isfinite(near))))
+            with np.errstate(all="ignore"):
+                base = dot(q, q)[i] * dot(v, v)[j]
+                score = np.concatenate([dot(q[i[x : x + 65536]], v[j[x : x + 65536]]) for x in range(0, max(1, len(i)), 65536)]) / np.sqrt(base)
+            none = ~(q_ok[i] & v_ok[j]) | (base == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(vi[j]), pa.array(score, mask=none)], names=["query", "id", "score"])
+
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query, id, score, rank: the k nearest of vectors (id, v) for each of the stated queries (query, v), others than itself.
-    Queries go in blocks against all vectors; each task keeps its best k before the exchange."""
-    sides = queries.select("query", F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // block)))))
-    out = None
-    for n in [r[0] for r in sides.select("block").distinct().collect()]:
-        got = vectors.join(F.broadcast(sides.where(F.col("block") == n)), F.col("id") != F.col("query"))
-        got = got.select("query", "id", F.round(cosine(F.col("v"), F.col("q")), 6).alias("score"))
-        out = got if out is None else out.unionByName(got)
-    return top(out, "query", k)
+
+    Blocks of queries meet blocks of vectors, each pair of blocks in one task, which multiplies them as matrices and keeps what can be among
+    the best k, with exact cosines. Rows that can't be compared (missing or of another length) have no score."""
+    ship(vectors.sparkSession)
+    vectors.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+    def packed(rows: DataFrame, key: str, v: str, name: str, least: int) -> tuple[DataFrame, int]:
+        rows = rows.where(F.col(key).isNotNull())
+        n = max(least, -(-rows.count() // block))
+        return rows.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("part")).agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(v).alias("v"))).alias(name)).select(name), n
+
+    asked, n = packed(queries, "query", "v", "qs", 1)
+    held, _ = packed(vectors, "id", "v", "vs", 1)
+    both = asked.repartition(min(n, 8)).hint("shuffle_replicate_nl").crossJoin(held)
+    kinds = dict(queries.dtypes)["query"], dict(vectors.dtypes)["id"]
+    got = both.mapInArrow(partial(_nearest, k=k), f"query {kinds[0]}, id {kinds[1]}, score double")
+    return top(got.withColumn("score", F.round("score", 6)), "query", k)
 
 
 def fuse(rankings: list[DataFrame], k: int = 60) -> DataFrame:
