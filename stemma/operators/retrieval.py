@@ -119,6 +119,17 @@ def recall_mrr(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return each.agg(F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("m"), 6).alias("mrr"), F.count(F.lit(1)).alias("queries"))
 
 
+def recall_mrr_by_label(ranked: DataFrame, labels: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """recall_mrr() where all others (id, label) of the label of a query (query, label) are relevant: they are counted by label, not paired."""
+    sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    own = labels.groupBy(F.col("id").alias("query"), "label").agg(F.count(F.lit(1)).alias("own"))
+    asked = queries.join(sizes, "label").join(own, ["query", "label"], "left").select("query", "label", (F.col("n") - F.coalesce("own", F.lit(0))).alias("n")).where("n > 0")
+    hits = ranked.where(F.col("rank") <= k).select("query", "id", "rank").join(labels.select("id", "label"), "id")
+    hits = hits.groupBy("query", "label").agg(F.count(F.lit(1)).alias("hits"), F.max(1.0 / F.col("rank")).alias("m"))
+    each = asked.join(hits, ["query", "label"], "left").select((F.coalesce("hits", F.lit(0)) / F.col("n")).alias("r"), F.coalesce("m", F.lit(0.0)).alias("m"))
+    return each.agg(F.round(F.avg("r"), 6).alias("recall"), F.round(F.avg("m"), 6).alias("mrr"), F.count(F.lit(1)).alias("queries"))
+
+
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, confidence, accuracy of rows (p, y): reliability by equal bins."""
     b = F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)).cast("int")
