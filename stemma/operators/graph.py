@@ -56,6 +56,42 @@ def descendants(edges: DataFrame, seeds: DataFrame, keys: tuple[str, ...] = ())
     return closure(reverse(edges), seeds, keys)
 
 
+def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """The seeds (id) and all that is below them, for few seeds or most of the graph, without depths.
+
+    An edge into what was reached leads to nothing new. Edges are written anew without those once a fourth of them may go, so turns
+    get shorter, and only what was found since then is joined: a turn's plan, which the driver makes and compiles, stays small.
+    """
+    seen = frontier = since = cut(seeds.select("id").distinct(), "frontier")
+    left, rows = edges.select("src", "dst"), 0
+    n = many = frontier.count()
+    for turn in count():  # each turn adds nodes or ends
+        if not n:
+            return seen.distinct()
+        if 4 * many >= rows:
+            gone = since.withColumnRenamed("id", "dst")
+            left = cut(left.join(gone.hint("merge") if many > FEW else gone, "dst", "left_anti").select("src", "dst"), "left")
+            rows, many, since = left.count(), 0, None
+            if not rows:
+                return seen.distinct()
+        # several steps are one job only where few are to be followed: what many reach is taken off the edges at once
+        hops, at, found = 1 if n > FEW else min(8, 2 + turn // 4), frontier, []
+        for hop in range(hops):
+            down = left.hint("merge") if rows > FEW and n > FEW >> 2 * hop else left  # a later step may find several times as many
+            at = at.join(down.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id")).distinct()
+            found.append(at.withColumn("hop", F.lit(hop)))
+        new = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min("hop").alias("hop"))
+        if since is not None:
+            new = new.join(since.hint("merge") if many > FEW else since, "id", "left_anti")
+        new = cut(new.select("id", "hop"), "frontier")
+        more, n = new.agg(F.count(F.lit(1)), F.count_if(F.col("hop") == hops - 1)).first()
+        frontier, added = new.where(F.col("hop") == hops - 1).select("id"), new.select("id")
+        seen, since, many = seen.unionByName(added), added if since is None else since.unionByName(added), many + more
+        if turn % 8 == 7:
+            seen = cut(seen, "seen")
+            since = since if since is None else cut(since, "since")
+
+
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, level) of the nodes that come off in topological order, level being the longest path to them, and the
     residue (id): nodes in cycles and below them. Nodes that only edges name count as well; missing ids and edges without an end don't."""
@@ -133,7 +169,7 @@ def preferred(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def reachable_blocked(edges: DataFrame, blocked: DataFrame) -> DataFrame:
     """Nodes that may not pass as accepted, as something blocked is above them."""
-    return descendants(edges, blocked).select("id").distinct()
+    return reachable(edges, blocked)
 
 
 def assemble(candidates: DataFrame, graph: str = "graph") -> DataFrame:

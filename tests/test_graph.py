@@ -114,3 +114,38 @@ def test_estimates_send_no_table_to_the_driver(spark):
     b, planned = t.bundle(), lambda df: df._jdf.queryExecution().sparkPlan().toString()
     for df in (t.edges(), state.step_edges(b.steps), b.basis()):
         assert "BroadcastHashJoin" not in planned(df)
+
+
+@pytest.mark.parametrize("few", [0, 3, 1 << 17])
+def test_reachable_equals_closures(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(few)
+    # cycles, loops, edges twice, edges without an end, seeds that no edge has or that are missing, a chain
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(1, 1), (2, 3), (2, 3), (4, None), (None, 5)] + [(k, k + 1) for k in range(100, 112)]
+    e = edge_table(spark, pairs)
+    for seeds in ([], [77], [None, 2, 4, 4, 77], [100, 3], range(0, 40, 3)):
+        got = [r.id for r in graph.reachable_blocked(e, ids(spark, seeds)).collect()]
+        want = set(seeds)
+        while more := {b for a, b in pairs if a is not None and a in want} - want:
+            want |= more
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_edges_into_what_was_reached_are_dropped(spark, monkeypatch):
+    # two nodes of three are blocked; edges into them need not be followed, nor what was found be joined again
+    rows = {}
+    plain = graph.cut
+
+    def written(df, tag="cut", path=None):
+        out = plain(df, tag, path)
+        rows.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "cut", written)
+    n = 300
+    e = edge_table(spark, [(k // d, k) for k in range(2, n) for d in (2, 3) if 0 < k // d])
+    blocked = [k for k in range(1, n) if k % 3]
+    got = {r.id for r in graph.reachable_blocked(e, ids(spark, blocked)).collect()}
+    assert got == set(range(1, n))
+    assert "steps" not in rows and rows["left"][0] <= e.where("dst % 3 = 0").count() < e.count() / 2
+    assert rows["left"] == sorted(set(rows["left"]), reverse=True)
